@@ -69,19 +69,12 @@ def ngram_buckets(host_col: Column, path_col: Column, sizes: tuple[int, ...], bu
     """Distinct buckets of the character n-grams of ``^host$`` and ``^path$``."""
 
     def of(text: Column, tag: str) -> Column:
-        def grams(chars: Column) -> Column:
-            n = F.size(chars)
-            return F.concat(
-                *[
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.lit(1), n - size + 1)),
-                        lambda i, size=size: F.pmod(F.xxhash64(F.lit(tag), F.lit(size), F.slice(chars, i, size)), F.lit(buckets)).cast("int"),
-                    )
-                    for size in sizes
-                ]
-            )
-
-        return let(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), grams)
+        def sized(chars: Column, size: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(chars) - size + 1))
+            return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(tag), F.lit(size), F.slice(chars, i, size)), F.lit(buckets)).cast("int"))
+
+        chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
+        return let(chars, lambda c: F.concat(*[sized(c, size) for size in sizes]))
 
     return F.array_distinct(F.concat(of(host_col, "host"), of(path_col, "path")))
 
