@@ -106,8 +106,8 @@ def tokenize(docs: DataFrame, path: str, size: int = SIZE, end: int = END, with_
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def patterns(lengths: np.ndarray, size: int, parts: int = 3, most: int = 6000) -> list[tuple[int, ...]]:
-    """Multisets of up to ``parts`` lengths that fill a sequence, or come within a few tokens of it.
+def patterns(lengths: np.ndarray, size: int, gap: int = 2, most: int = 20_000) -> list[tuple[int, ...]]:
+    """Multisets of two to four lengths that leave at most ``gap`` tokens of a sequence free.
 
     ``most`` bounds the columns of the fit, not the pieces: what no pattern takes up is
     packed as a residual.
@@ -118,16 +118,25 @@ def patterns(lengths: np.ndarray, size: int, parts: int = 3, most: int = 6000) -
     for x in range(1, size + 1):
         below[x] = x if present[x] else below[x - 1]
     out: dict[tuple[int, ...], int] = {}
-    for a in lengths[::-1]:
-        if b := below[min(size - a, a)]:
-            out[(int(a), int(b))] = size - a - b
-    if parts > 2:
-        step = max(1, len(lengths) // 100)
-        for a in lengths[::-1][::step]:
-            for b in lengths[::step]:
-                if b <= a < size - b and (c := below[min(size - a - b, b)]):
-                    out.setdefault((int(a), int(b), int(c)), int(size - a - b - c))
-    return sorted(out, key=lambda p: (out[p], len(p), p))[:most]
+
+    def add(*head: int) -> None:
+        room = size - sum(head)
+        if room > 0 and (last := int(below[min(room, head[-1])])) and room - last <= gap:
+            out.setdefault((*head, last), room - last)
+
+    some = lengths[:: max(1, len(lengths) // 90)]
+    few = lengths[:: max(1, len(lengths) // 24)]
+    for a in lengths.tolist():
+        add(a)
+        for b in some.tolist():
+            if b <= a:
+                add(a, b)
+    for a in some.tolist():
+        for b in few.tolist():
+            for c in few.tolist():
+                if c <= b <= a:
+                    add(a, b, c)
+    return sorted(out, key=lambda p: (len(p), out[p], p))[:most]
 
 
 def nnls(columns: list[tuple[int, ...]], counts: np.ndarray, steps: int = 200) -> np.ndarray:
