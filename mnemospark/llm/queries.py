@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, secrets, simhash, topk, url_filter, warc
+from . import language, line_dedup, packing, quality, secrets, simhash, topk, url_filter, warc
 from .common import table
 from .url_filter import Rule
 
@@ -20,6 +20,11 @@ URL_RULES = [
 ]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every line that goes; all other lines stay."""
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "line_id", "class_id")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
