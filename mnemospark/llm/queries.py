@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, packing, quality, secrets, simhash, topk, url_filter, warc
+from . import language, line_dedup, mixing, packing, quality, secrets, simhash, topk, url_filter, warc
 from .common import table
 from .url_filter import Rule
 
@@ -34,6 +34,15 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+MIX_TARGETS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated, model = mixing.mix(table(spark, sf_dir, "documents"), mixing.domains_of(table(spark, sf_dir, "labels")), MIX_TARGETS, keep=["doc_id"], anchor="good")
+    shares = [F.round(F.element_at("posterior", i + 1), 6).alias(f"p_{d}") for i, d in enumerate(model.domains)]
+    return rated.select("doc_id", "tokens", *shares, "rate", "copies")
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"), 10)
