@@ -230,7 +230,7 @@ def entity_with_edges(entities: DataFrame, edges: DataFrame) -> DataFrame:
 
 def edges_of(edges: DataFrame, subjects: DataFrame, per_subject: int) -> DataFrame:
     """Newest edges of many subjects, a limit for each, every edge once."""
-    pairs = both = edges.select("*", F.col("source_id").alias("subject")).union(edges.select("*", F.col("target_id").alias("subject")))
+    both = edges.select("*", F.col("source_id").alias("subject")).union(edges.select("*", F.col("target_id").alias("subject")))
     pairs = both.join(subjects.select(F.col("id").alias("subject")).distinct(), "subject", "left_semi")
     w = Window.partitionBy("subject").orderBy(F.desc("created_at"), "id")
     return pairs.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_subject).drop("__n", "subject").dropDuplicates(["id"])
