@@ -1,0 +1,6 @@
+"""Named queries over the adapter tables."""
+
+from . import temporal
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "temporal"]
