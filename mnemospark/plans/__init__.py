@@ -1,6 +1,6 @@
 """Named queries over the adapter tables."""
 
-from . import temporal
+from . import retrieval, temporal
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "temporal"]
+__all__ = ["QUERIES", "SQL", "retrieval", "temporal"]
