@@ -101,7 +101,7 @@ def mixture(model: np.ndarray, text: str, penalty: float = 1.0) -> tuple[np.ndar
 
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default all), lang_pred, score and lang_shares of every row."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "lang_shares")]
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.T))
     rows = docs.select(*keep, F.col(text).alias("__text"))
     out = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("lang_shares", "string")

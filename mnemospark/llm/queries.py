@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from . import language, line_dedup, mixing, packing, quality, secrets, simhash, topk, url_filter, warc
 from .common import table
+from .oracles import oracle_sql
 from .url_filter import Rule
 
+__all__ = ["oracle_sql", "queries"]
+
 URL_RULES = [
     Rule("block", "com/en/"),
     Rule("allow", "example.com/en/7"),
@@ -80,7 +83,3 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -31,6 +31,7 @@ from .common import CLEANUP, new_path
 
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
+TYPES = {"warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation"}
 END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -71,6 +72,8 @@ def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
         if not colon:
             raise ValueError("bad header line")
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+    if headers.get("warc-type") not in TYPES or "warc-record-id" not in headers:
+        raise ValueError("no record type or id")
     size = headers.get("content-length", "")
     if not size.isdigit():
         raise ValueError("bad content length")
@@ -78,7 +81,7 @@ def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     if data[end : end + 4] != END:
         raise ValueError("no end mark after the block")
     block = data[head + 4 : end]
-    if headers.get("warc-type") == "response" and headers.get("warc-payload-digest") not in (None, digest_header(payload_of(headers, block))):
+    if headers["warc-type"] != "revisit" and headers.get("warc-payload-digest") not in (None, digest_header(payload_of(headers, block))):
         raise ValueError("payload digest differs")
     return end + 4, headers, block
 
