@@ -5,8 +5,9 @@ p-values with a bounded number of bins.
 
 A candidate of the battery is a run of 20 or more characters of the base64 alphabets.
 Its encoding (hex, base32, base36, base62, base64) is inferred from the characters seen.
-Within that alphabet it must pass three tests of randomness: chi-squared uniformity, the
-runs test about the median, and lag-one serial correlation. Passing them proves little
+Within that alphabet it must pass tests of randomness: chi-squared uniformity of the
+characters and, where an alphabet has them, of digits, capitals and small letters; the
+runs test about the median; and lag-one serial correlation. Passing them proves little
 for a short string, so the fourth figure is ``p_text``: the probability that ordinary
 text of that length would look as uniform. Benjamini-Hochberg over all candidates of the
 corpus sets the largest ``p_text`` at which the expected share of false discoveries
@@ -44,6 +45,8 @@ ENCODINGS = {
 #: Probability that two letters drawn from natural text are equal.
 COINCIDENCE = 0.066
 BINS = 400
+#: Chi-squared of two degrees of freedom at one in a hundred.
+KINDS = 9.21
 
 
 def _found(text: Column, pattern: str, group: int, least: int, kind: str, order: int) -> Column:
@@ -81,6 +84,15 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z > 0, 1 - tail).otherwise(tail)
 
 
+def kinds(body: Column, n: Column, k: Column) -> Column:
+    """Chi-squared of the numbers of digits, capitals and small letters."""
+    out = F.lit(0.0)
+    for pattern, size in (("[0-9]", 10), ("[A-Z]", 26), ("[a-z]", 26)):
+        expected = n * size / k
+        out = out + F.pow(F.regexp_count(body, F.lit(pattern)) - expected, F.lit(2)) / expected
+    return out
+
+
 def battery(token: Column) -> Column:
     """Struct of encoding, z of chi-squared, runs and serial tests, and p_text; null if no encoding fits."""
     body = F.rtrim(token, F.lit("="))
@@ -110,6 +122,7 @@ def battery(token: Column) -> Column:
                 serial = F.when(variance > 0, (products - (n - 1) * mean * mean) / variance * F.sqrt(n))
                 return F.struct(
                     e["encoding"].alias("encoding"),
+                    F.when(e["encoding"].isin("base62", "base64", "base64url"), kinds(e["body"], n, k)).alias("chi_kinds"),
                     ((chi - (k - 1)) / F.sqrt(2 * (k - 1))).alias("z_uniform"),
                     F.when(runs_var > 0, (changes + 1 - runs_mean) / F.sqrt(runs_var)).alias("z_runs"),
                     serial.alias("z_serial"),
@@ -130,7 +143,7 @@ def battery(token: Column) -> Column:
 
 def looks_random(b: Column, z: float = 3.29) -> Column:
     """No test rejects randomness at the two-sided level of ``z``."""
-    return F.coalesce((b["z_uniform"] < z) & (F.abs(b["z_runs"]) < z) & (F.abs(b["z_serial"]) < z), F.lit(False))
+    return F.coalesce((b["z_uniform"] < z) & (F.coalesce(b["chi_kinds"], F.lit(0.0)) < KINDS) & (F.abs(b["z_runs"]) < z) & (F.abs(b["z_serial"]) < z), F.lit(False))
 
 
 def _bin(p: Column) -> Column:
