@@ -212,7 +212,7 @@ def w7_version_bump(spark: SparkSession, d: str) -> DataFrame:
     return upsert.new_versions(old, new).select("name", F.col("version").cast("long").alias("version"), "is_active")
 
 
-@query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY source_id ORDER BY valid_from DESC, id) AS n FROM edges WHERE source_id IN ('c:1', 'c:2', 'c:4')) WHERE n <= 3", (EDGES,))
+@query("SELECT DISTINCT id FROM (SELECT id, row_number() OVER (PARTITION BY source_id ORDER BY valid_from DESC, id) AS n FROM edges WHERE source_id IN ('c:1', 'c:2', 'c:4')) WHERE n <= 3", (EDGES,))
 def u5_edges_of_subjects(spark: SparkSession, d: str) -> DataFrame:
     e = tables.temporal_edges(spark, d).withColumn("created_at", F.col("valid_from"))
     return graph.edges_of(e, spark.createDataFrame([("c:1",), ("c:2",), ("c:4",)], "id string"), 3).select("id")
@@ -280,7 +280,7 @@ def f20_json_int(spark: SparkSession, d: str) -> DataFrame:
     return tables.read(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"))
 
 
-@query(f"SELECT id, event_type AS predicate FROM (SELECT event_id AS id, event_type FROM events WHERE event_id % 13 = 0 AND (user_id, floor(value / 10)) NOT IN (SELECT (user_id, floor(value / 10)) FROM events b WHERE b.event_id % 13 <> 0 AND b.event_type = events.event_type)) ")
+@query("SELECT event_id AS id, event_type AS predicate FROM events a WHERE event_id % 13 = 0 AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 13 <> 0 AND b.event_type = a.event_type AND b.user_id = a.user_id AND floor(b.value / 10) = floor(a.value / 10))")
 def t5_synonym_dedupe(spark: SparkSession, d: str) -> DataFrame:
     f = tables.facts(spark, d).withColumns({"subject": F.col("subject").cast("string"), "object": F.col("object").cast("string")})
     return facts.without_synonyms(f.where("id % 13 = 0"), f.where("id % 13 <> 0")).select("id", "predicate")
@@ -291,7 +291,10 @@ def o8_symmetric(spark: SparkSession, d: str) -> DataFrame:
     return observations.symmetric(observations.co_occurrence_patterns(tables.links(spark, d), least=25))
 
 
-@query("SELECT a.l_suppkey AS a, b.l_suppkey AS b, '''' || a.l_suppkey || ''' appears alongside ''' || b.l_suppkey || ''' in ' || count(DISTINCT a.l_orderkey) || ' out of ' || (SELECT count(DISTINCT l_orderkey) FROM lineitem) || ' episodes (' || CAST(round(count(DISTINCT a.l_orderkey) / (SELECT count(DISTINCT l_orderkey) FROM lineitem) * 100) AS INTEGER) || '% co-occurrence rate).' AS content FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL HAVING count(DISTINCT a.l_orderkey) >= 30")
+@query(
+    "SELECT a, b, '''' || a || ''' appears alongside ''' || b || ''' in ' || n || ' out of ' || total || ' episodes (' || CAST(round(n / total * 100) AS INTEGER) || '% co-occurrence rate).' AS content FROM co, total",
+    ("co AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(DISTINCT a.l_orderkey) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL HAVING count(DISTINCT a.l_orderkey) >= 30)", "total AS (SELECT count(DISTINCT l_orderkey) AS total FROM lineitem)"),
+)
 def o6_description(spark: SparkSession, d: str) -> DataFrame:
     co = observations.co_occurrence_patterns(tables.links(spark, d), least=30)
     return co.select("a", "b", observations.describe_co_occurrence(F.col("a").cast("string"), F.col("b").cast("string")).alias("content"))
