@@ -23,11 +23,12 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CLEANUP, new_path
+from .common import CLEANUP, new_path, staged
 
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
@@ -36,6 +37,7 @@ END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SALTS = 16
+FILTER = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -144,18 +146,20 @@ def gzip_member(record: bytes) -> bytes:
 def records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """A ``record`` string for every row of ``pages`` (page_id, url, html).
 
-    The owner of a payload is found on digests alone. A payload that a third of the rows
+    The owner of a payload is found on digests alone, and only payloads that may have
+    copies are shuffled. A payload that a third of the rows
     share is salted, so its rows meet their owner in many tasks.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.length(payload).alias("n"), F.sha1(payload).alias("sha1"))
-    owners = (
-        rows.where(F.col("n") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1").select("sha1", "owner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
+    owners = staged(rows.where(F.col("n") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha1", "owner"), "owners")
+    # payloads that surely have no copy stay where they are
+    perhaps = _perhaps(owners)
+    single = rows.where(~perhaps).withColumn("owner", F.lit(None).cast(rows.schema["page_id"].dataType))
+    spread = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # of rows that share the largest page_id the first stays the response; they are equal but for their url
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(owners, ["sha1", "salt"], "left")
+    salted = rows.where(perhaps).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    joined = single.unionByName(salted.join(spread, ["sha1", "salt"], "left").drop("salt"))
     revisit = F.coalesce(F.col("owner") != F.col("page_id"), F.lit(False)) & (F.col("n") >= min_bytes)
     block = F.when(revisit, "").otherwise(F.col("html"))
     line = "\r\n"
@@ -171,6 +175,21 @@ def records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     return joined.select(record.alias("record"))
 
 
+def _perhaps(owners: DataFrame) -> Column:
+    """False where ``sha1`` is surely not in ``owners``: a bitmap of FILTER bits, whatever their number.
+
+    A full bitmap only means that more rows take the shuffle.
+    """
+    bit = F.pmod(F.xxhash64("sha1"), F.lit(FILTER))
+    words = owners.select(bit.alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).collect()
+    if not words:
+        return F.lit(False)
+    table = np.zeros(FILTER // 64, dtype=np.int64)
+    for r in words:
+        table[r["w"]] = r["bits"]
+    return F.call_function("shiftright", F.element_at(F.lit(table), F.shiftright(bit, 6).cast("int") + 1), F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def _base32(hexed: Column) -> Column:
     """Base-32 letters of a 40-digit hex string: five digits hold 20 bits, four letters."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
