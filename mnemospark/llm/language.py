@@ -37,6 +37,8 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
         n = np.bincount(v, minlength=BUCKETS)
         u = np.flatnonzero(n)
         return u, n[u].astype(float)
+    if not len(v):
+        return v, v.astype(float)
     v.sort()
     first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
     return v[first], np.diff(np.append(first, len(v))).astype(float)
