@@ -137,7 +137,7 @@ def p13_edge_ids_between(spark: SparkSession, d: str) -> DataFrame:
     return graph.edge_ids_between(tables.temporal_edges(spark, d))
 
 
-@query("SELECT id FROM edges WHERE valid_from <= TIMESTAMP '1995-06-17 00:00:00' AND valid_to >= TIMESTAMP '1995-06-17 00:00:00' AND (source_id = 'c:7' OR target_id = 's:7')", (EDGES,))
+@query("SELECT DISTINCT id FROM edges WHERE valid_from <= TIMESTAMP '1995-06-17 00:00:00' AND valid_to >= TIMESTAMP '1995-06-17 00:00:00' AND (source_id = 'c:7' OR target_id = 's:7')", (EDGES,))
 def p12_edges_at_time(spark: SparkSession, d: str) -> DataFrame:
     e = graph.live_edges(tables.temporal_edges(spark, d), ts("1995-06-17 00:00:00"))
     return e.where("source_id = 'c:7'").union(e.where("target_id = 's:7'")).select("id").distinct()
