@@ -86,5 +86,20 @@ def unstage(df: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def heavy_join(left: DataFrame, right: DataFrame, key: str, share: int = 256) -> DataFrame:
+    """Left join of a staged table with one row of ``right`` for each key, safe from heavy keys.
+
+    Fewer than ``share`` keys can each hold more than 1/share of the rows. Their rows of
+    ``right``, so bounded, are broadcast; all other keys are light and join by a shuffle.
+    """
+    rows = left.count()
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    heavy = [r[0] for r in counts.where(F.col("n") > rows / share).select(key).collect()]
+    if not heavy:
+        return left.join(right, key, "left")
+    hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    return left.where(hot).join(F.broadcast(right.where(hot)), key, "left").unionByName(left.where(~hot).join(right.where(~hot), key, "left"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

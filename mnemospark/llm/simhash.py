@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import heavy_join, staged
 from .components import components
 
 BITS = 64
@@ -145,14 +145,14 @@ def groups(docs: DataFrame, keep: list[str], radius: int = 2, dense: int = 64, s
     rows = staged(fingerprints(docs, keep, shingle), "fingerprints")
     distinct = staged(rows.select("fp").distinct(), "distinct")
     found = components(links(distinct, radius, dense))
-    return rows.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return heavy_join(rows, found.withColumnRenamed("node", "fp"), "fp").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, dense: int = 64, shingle: int = 3) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id of the component, for every row."""
     rows = staged(groups(docs, ["doc_id"], radius, dense, shingle), "groups")
     first = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(first, "root").select("doc_id", "fp", "component_id")
+    return heavy_join(rows, first, "root").select("doc_id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame, radius: int = 2, dense: int = 64, shingle: int = 3) -> DataFrame:
