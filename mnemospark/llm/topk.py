@@ -1,11 +1,11 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-Codes are the sign bits of 64-dimensional vectors, cut into four 16-bit segments. Round
-r looks up, for each query and segment, the index entries whose segment differs in
-exactly r bits. After round r every code within 4r + 3 bits has been seen, since four
-segments that differ in r + 1 bits or more add up to 4r + 4. A query is done when its
-k-th distance is covered that way; the others go on with the next radius, so the result
-is exact for every query.
+Codes are the sign bits of 64-dimensional vectors, cut into four 16-bit segments. A step
+looks up, for each query, the index entries whose segment s differs in exactly r bits.
+After segments 0 to s at radius r, and all at r - 1, every code within 4r + s bits has
+been seen: one farther in each would differ in 4r + s + 1 bits or more. A query is done
+when its k-th distance is covered that way; the others go on with the next segment or
+radius, so the result is exact for every query.
 
 A code is met in several segments; only the first segment with the least difference
 gives the pair, so no pair is made twice. Equal codes are one index entry with its k
@@ -30,6 +30,7 @@ from .common import staged
 BITS = 64
 SEGMENTS = 4
 WIDTH = BITS // SEGMENTS
+WHOLE = 3
 
 
 def code(vector: Column) -> Column:
@@ -49,6 +50,13 @@ def masks(radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius)]
 
 
+def steps() -> list[tuple[int, list[int]]]:
+    """(radius, segments) in the order of search: all segments at once while that is cheap, then by halves."""
+    every = list(range(SEGMENTS))
+    half = SEGMENTS // 2
+    return [(r, part) for r in range(WIDTH + 1) for part in ([every] if r < WHOLE else [every[:half], every[half:]])]
+
+
 def _first(entries: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
     return entries.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -69,19 +77,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     index = staged(index, "index")
     active = staged(asked.select("q").distinct(), "active")
     best, finished = None, None
-    for r in range(WIDTH + 1):
-        probes = active.select("q", F.posexplode(F.array(*[segment(F.col("q"), s) for s in range(SEGMENTS)])).alias("seg", "own"))
-        probes = probes.select("q", "seg", F.explode(F.lit(masks(r))).alias("mask")).withColumn("value", _own().bitwiseXOR(F.col("mask")))
-        apart = [F.bit_count(segment(F.col("q"), s).bitwiseXOR(segment(F.col("code"), s))) for s in range(SEGMENTS)]
+    apart = [F.bit_count(segment(F.col("q"), s).bitwiseXOR(segment(F.col("code"), s))) for s in range(SEGMENTS)]
+    for r, segments in steps():
+        own = F.array(*[F.struct(F.lit(s).alias("seg"), segment(F.col("q"), s).alias("own")) for s in segments])
+        probes = active.select("q", F.explode(own).alias("p"), F.lit(masks(r)).alias("masks")).select("q", "p.seg", "p.own", F.explode("masks").alias("mask"))
+        probes = probes.select("q", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         first = F.lit(True)
         for s in range(SEGMENTS):
             first = first & F.when(F.col("seg") > s, apart[s] > r).when(F.col("seg") < s, apart[s] >= r).otherwise(True)
-        found = probes.join(index, ["seg", "value"]).where(first).select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int").alias("distance"), F.explode("ids").alias("vec_id"))
+        # the planner takes the probes for as small as the queries they come from: no broadcast
+        found = probes.hint("merge").join(index.hint("merge"), ["seg", "value"]).where(first).select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int").alias("distance"), F.explode("ids").alias("vec_id"))
         if best is not None:
             found = found.union(best.join(active, "q", "left_semi").select("q", "distance", "vec_id"))
         top = staged(_first(found, ["q"], ["distance", "vec_id"], k), "top")
         state = top.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
-        done = state.where(((F.col("n") >= min(k, rows)) & (F.col("far") <= SEGMENTS * r + SEGMENTS - 1)) | (F.col("n") >= rows)).select("q")
+        done = state.where(((F.col("n") >= min(k, rows)) & (F.col("far") <= SEGMENTS * r + segments[-1])) | (F.col("n") >= rows)).select("q")
         over = staged(top.join(done, "q", "left_semi"), "done")
         finished = over if finished is None else finished.union(over)
         active = staged(active.join(done, "q", "left_anti"), "active")
@@ -90,10 +100,3 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             break
     # equal queries share one result; it has k rows a query
     return asked.join(finished, "q").select("query_id", "rank", "vec_id", "distance")
-
-
-def _own() -> Column:
-    own = F.lit(0)
-    for s in range(SEGMENTS):
-        own = F.when(F.col("seg") == s, segment(F.col("q"), s)).otherwise(own)
-    return own
