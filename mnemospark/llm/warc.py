@@ -65,7 +65,8 @@ def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     """End, headers and block of the plain record at ``at``; ValueError if a check fails."""
     if not data.startswith(VERSION, at):
         raise ValueError("no version line")
-    head = data.find(END, at, at + 65536)
+    following = data.find(b"\r\n" + VERSION, at)
+    head = data.find(END, at, following + 2 if following >= 0 else len(data))  # of any length, but not beyond the next version line
     if head < 0:
         raise ValueError("headers do not end")
     headers: dict[str, str] = {}

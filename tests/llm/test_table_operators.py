@@ -116,6 +116,16 @@ def test_salvage_gzip_members(spark, tmp_path):
     assert list(warc.salvage(b"")) == []
 
 
+def test_warc_long_headers(spark, tmp_path):
+    urls = {1: "data:text/html," + "x" * 100_000, 2: "http://a/?q=WARC/1.1&" + "y" * 70_000, 3: "http://b/"}
+    got = {r["page_id"]: r for r in warc.archive_round_trip(pages_of(spark, [(i, u, f"page {i}") for i, u in urls.items()]), path=f"file://{tmp_path}/w").collect()}
+    assert {i: r["url"] for i, r in got.items()} == urls and all(r["kind"] == "response" for r in got.values())
+    whole = sample_archive(spark, tmp_path)
+    second = list(warc.salvage(whole))[1].start
+    out = list(warc.salvage(whole[: whole.index(b"\r\n", 40) + 2] + whole[second:]))  # headers that run into the next record
+    assert [type(x).__name__ for x in out] == ["Gap"] + ["Record"] * 5
+
+
 # URL filter
 
 
