@@ -259,6 +259,32 @@ def test_line_dedup_dense_band(spark):
     assert gone == set(range(1, 120))
 
 
+def test_line_dedup_short_lines(spark):
+    texts = ["yes", "no", "一行十五字以内的完整句子", "abcdefghijkl", "abcdefghijklm", "abcdefghijklmnop", "abcdefghijklmno", "xabcdefghijklmno", "123456789", "23456789x", "abcdefghijklmnopq", "bcdefghijklmnopqr", "aaaaaaaa", "a" * 40, "", " "]
+    texts += ["YES ", "一行十五字以内的完整句子", "", " ", "other"]
+    shown = [" ".join(x.lower().split()) for x in texts]
+    sets = [slow_shingles(x) for x in shown]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if shown[i] and shown[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {i for i, root in classes(range(len(texts)), linked).items() if root != i}
+    got = line_dedup.removed_lines(spark.createDataFrame([(i, x, "en", "a", 0) for i, x in enumerate(texts)], DOCS)).collect()
+    assert {r["doc_id"] for r in got} == want and {16, 17, 13} <= want and len(want) > 5
+
+
+def test_line_dedup_exact_keys(spark):
+    import random
+
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+    lines = sorted({word[i : i + n] for i in range(12) for n in range(1, 18)} | {word[:i] + "#" + word[i : i + n] for i in range(3) for n in range(8, 16)})
+    rows = line_dedup.with_bands(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
+    bands = {r["line"]: set(r["bands"]) - {None} for r in rows}
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            x, y = slow_shingles(a), slow_shingles(b)
+            if len(x & y) >= 0.8 * len(x | y):
+                assert bands[a] & bands[b], (a, b)
+
+
 # language ID
 
 
