@@ -157,9 +157,17 @@ def near_duplicates(docs: DataFrame, radius: int = 2, dense: int = 64, shingle:
 
 def dedup(docs: DataFrame, radius: int = 2, dense: int = 64, shingle: int = 3) -> DataFrame:
     """One row of each component: that with the smallest doc_id (nulls last)."""
-    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce(F.col("text"), F.lit("")))
-    rows = groups(docs.withColumn("__k", key), ["doc_id", "__k"], radius, dense, shingle)
+    keyed = docs.withColumn("__k", row_key())
+    return first_rows(keyed, groups(keyed, ["doc_id", "__k"], radius, dense, shingle))
+
+
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce(F.col("text"), F.lit("")))
+
+
+def first_rows(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The first row of ``keyed`` in each group of ``rows`` (doc_id, __k, root)."""
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__k")).alias("k")).select(F.col("k.__k").alias("__k"))
-    kept = docs.withColumn("__k", key).join(best, "__k", "left_semi")
+    kept = keyed.join(best, "__k", "left_semi")
     one = Window.partitionBy("__k").orderBy(F.lit(1))  # repeated rows share a key
     return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n", "__k")
