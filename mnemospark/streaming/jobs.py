@@ -13,10 +13,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def event_stream(spark: SparkSession, path: str, pattern: str = "events.parquet") -> DataFrame:
-    """A file stream over a folder; event times as instants, so watermarks accept them."""
+    """A file stream over a folder, or over the part files where the table is a folder itself; event times as instants, so watermarks accept them."""
     folder = f"{path}/{pattern}"
     schema = spark.read.parquet(folder).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 100).parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100)
+    parts = found is not None and any(f.isDirectory() for f in found)
+    stream = reader.parquet(folder) if parts else reader.option("pathGlobFilter", pattern).parquet(path)
     for f in schema:
         if f.dataType.typeName() == "timestamp_ntz":
             stream = stream.withColumn(f.name, F.col(f.name).cast("timestamp"))

@@ -313,3 +313,11 @@ def test_daily_counts_and_recall(spark):
     assert [tuple(r) for r in aggregate.daily_counts(a, b, "ts", F.lit(T(2023, 1, 1)), ("x", "y")).collect()] == [("2024-01-03", 0, 1), ("2024-01-02", 1, 0), ("2024-01-01", 1, 0)]
     res = spark.createDataFrame([(1, "c", 1, "Blue Sky", ["blue"]), (1, "c", 2, "x", ["blue"]), (2, "c", 3, "blue", ["blue"])], "question_id int, category string, rank int, content string, terms array<string>")
     assert rows(aggregate.recall_at(res, 2)) == [("c", 0.5, 2)]
+
+
+def test_event_stream_of_part_files(spark, tmp_path):
+    from mnemospark.streaming import jobs
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(90).repartition(3).write.parquet(f"{tmp_path}/t/events.parquet")
+    jobs.run_available(jobs.event_stream(spark, f"{tmp_path}/t"), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 90
