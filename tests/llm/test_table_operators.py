@@ -1,12 +1,13 @@
 """Brute-force versions and round trips of the operators on pages, vectors and edges."""
 
 import hashlib
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.llm import topk, url_filter, warc
+from mnemospark.llm import topk, url_filter, url_labels, warc
 from mnemospark.llm.components import components
 from mnemospark.llm.queries import URL_RULES
 
@@ -54,6 +55,20 @@ def test_topk_matches_brute_force(spark):
     check_topk(v, v.where("vec_id % 50 = 0"), 10)
 
 
+@pytest.mark.parametrize("codes", [1, 2, 300, 60_000, 10**7, 10**12])
+def test_segments(codes):
+    cuts = topk.segments_for(codes)
+    assert [a for a, _ in cuts] == [sum(w for _, w in cuts[:i]) for i in range(len(cuts))] and sum(w for _, w in cuts) == 64
+    assert topk.steps(cuts)[0] == (0, list(range(len(cuts)))) and max(w for _, w in cuts) <= 22
+
+
+def test_topk_extra_columns(spark):
+    v = spark.read.parquet(f"{SAMPLE}/embeddings.parquet")
+    for c in ("q", "code", "distance", "rank", "seg", "value", "bound"):
+        v = v.withColumn(c, F.lit("x"))
+    check_topk(v, v.where("vec_id % 50 = 0"), 3)
+
+
 def test_topk_ties_copies_and_odd_vectors(spark):
     rng = random.Random(2)
     base = [[rng.choice([-1.0, 1.0]) for _ in range(64)] for _ in range(3)]
@@ -126,6 +141,48 @@ def test_warc_long_headers(spark, tmp_path):
     assert [type(x).__name__ for x in out] == ["Gap"] + ["Record"] * 5
 
 
+def test_warc_damaged_headers(spark, tmp_path):
+    """Damaged digests and lengths are gaps, not errors, and cost no other record."""
+    big = "z" * 1500
+    pages = pages_of(spark, [(1, "u1", big), (2, "u2", big), (3, "u3", "three")]).coalesce(1)
+    warc.write(pages, f"file://{tmp_path}/a")
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "a").glob("*.txt")))
+    kinds = [r.headers["warc-type"] for r in warc.salvage(whole)]
+    revisit = list(warc.salvage(whole))[kinds.index("revisit")]
+    for old, new in ((b"Digest: sha1:", b"Digest: sha1:!"), (b"Payload-Length: ", b"Payload-Length: x"), (b"Payload-Length: ", "Payload-Length: ²".encode())):
+        at = whole.index(old, revisit.start)
+        damaged = whole[:at] + new + whole[at + len(old) :]
+        (tmp_path / "b").mkdir(exist_ok=True)
+        (tmp_path / "b" / "x.txt").write_bytes(damaged)
+        got = warc.read(spark, f"file://{tmp_path}/b").collect()
+        assert sorted(r["kind"] for r in got) == ["gap", "response", "response"]
+    at = whole.index(b"Payload-Length: 5")
+    out = list(warc.salvage(whole[:at] + b"Payload-Length: 6" + whole[at + 17 :]))
+    assert sum(isinstance(x, warc.Gap) for x in out) == 1 and len(out) == 3
+
+
+def test_warc_large_pages_and_repeated_ids(spark, tmp_path):
+    rows = [(1, "u", "p" * 5_000_000), (2, "u", "q" * 300_000), (7, "a", "r" * 2000), (7, "b", "r" * 2000), (3, "c", "r" * 2000), (None, "d", "r" * 2000), (8, "e", "s")]
+    got = [(r["page_id"], r["url"], r["kind"], r["refers_to"], r["declared_length"]) for r in warc.archive_round_trip(pages_of(spark, rows), path=f"file://{tmp_path}/w").collect()]
+    want = [(p, u, "revisit" if p == 3 else "response", 7 if p == 3 else None, len(h)) for p, u, h in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert max(f.stat().st_size for f in (tmp_path / "w").glob("*.txt")) < 6_000_000
+
+
+def test_salvage_within_a_member(spark, tmp_path):
+    whole = sample_archive(spark, tmp_path)
+    damaged = bytearray(whole)
+    third = list(warc.salvage(whole))[2]
+    damaged[third.start + 20 : third.start + 40] = b"\x00" * 20
+    member = warc.gzip_member(bytes(damaged))
+    out = list(warc.salvage(member))
+    assert [type(x).__name__ for x in out] == ["Gap"] + ["Record"] * 5 and (out[0].start, out[0].end) == (0, len(member))
+    cut = warc.gzip_member(whole)[:-20]  # the end of the member is missing
+    assert sum(isinstance(x, warc.Record) for x in warc.salvage(cut)) >= 4
+    two = list(warc.salvage(warc.gzip_member(whole) + warc.gzip_member(whole)))
+    assert len(two) == 12 and two[-1].end == 2 * len(warc.gzip_member(whole))
+
+
 # URL filter
 
 
@@ -152,7 +209,7 @@ URLS = [
 
 def test_url_rules_and_verdicts(spark):
     pages = spark.read.parquet(f"{SAMPLE}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame(list(enumerate(URLS, 10_000)), "page_id long, url string"))
-    model = url_filter.fit(url_filter.labelled_by(pages, URL_RULES))
+    model = url_filter.fit(url_filter.labelled(spark))
     verdicts = {r.pattern: r.verdict for r in URL_RULES}
     for r in url_filter.judge(pages.withColumn("host", F.lit("clash")), URL_RULES, model).collect():
         host, path = slow_parts(r["url"])
@@ -172,6 +229,47 @@ def test_url_model_learns(spark):
     assert sum((r["verdict"] == "block") == r["blocked"] for r in got) >= 0.97 * len(got)
 
 
+def test_url_labels_held_out(spark):
+    """A fit on half of the library's table, judged on the other half, and on hosts of neither."""
+    rows = url_labels.rows()
+    model = url_filter.fit(spark.createDataFrame(rows[::2], "url string, blocked boolean"))
+    got = url_filter.judge(spark.createDataFrame(rows[1::2], "url string, blocked boolean"), [], model).collect()
+    assert sum((r["verdict"] == "block") == r["blocked"] for r in got) >= 0.95 * len(got)
+    whole = url_filter.fit(url_filter.labelled(spark))
+    pages = spark.read.parquet(f"{SAMPLE}/pages.parquet").select("url")
+    spam = F.col("host").rlike("cheap-pills|free-bets|spam-farm")
+    assert url_filter.judge(pages, [], whole).where((F.col("verdict") == "block") != spam).count() == 0
+
+
+def test_url_fit_matches_slow_version(spark):
+    """Weights against plain loops over n-grams hashed by Spark, after the same steps."""
+    rows = url_labels.rows()[:40]
+    df = spark.createDataFrame(rows, "url string, blocked boolean")
+    model = url_filter.fit(df, buckets=64, sizes=(3,), steps=30)
+    grams = {r["url"]: r["x"] for r in df.select("url", url_filter.ngram_buckets(url_filter.host(F.col("url")), url_filter.path(F.col("url")), (3,), 64).alias("x")).collect()}
+    weights, bias = [0.0] * 64, 0.0
+    count = {b: sum(r[1] == b for r in rows) for b in (True, False)}
+    for _ in range(30):
+        move, shift = [0.0] * 64, 0.0
+        for url, blocked in rows:
+            x = grams[url]
+            z = sum(weights[i] for i in x) / len(x) ** 0.5 + bias
+            error = (1 / (1 + math.exp(-z)) - blocked) * 0.5 / count[blocked]
+            for i in x:
+                move[i] += error / len(x) ** 0.5
+            shift += error
+        weights = [w - 10 * (m + 1e-3 * w) for w, m in zip(weights, move, strict=True)]
+        bias -= shift
+    assert all(abs(a - b) < 1e-9 for a, b in zip(model.weights, [*weights, bias], strict=True))
+
+
+def test_url_long_and_repeated(spark):
+    model = url_filter.fit(url_filter.labelled(spark))
+    long = "http://a.example.org/" + "x" * 200_000
+    got = url_filter.judge(spark.createDataFrame([(long,), (long,), ("http://com/en/" + "y" * 100_000,)], "url string"), URL_RULES, model).collect()
+    assert [len(r["path"]) for r in got] == [200_001, 200_001, 100_004] and got[0] == got[1] and got[2]["verdict"] == "block"
+
+
 def test_url_edges(spark):
     none = spark.createDataFrame([], "url string, blocked boolean")
     model = url_filter.fit(none)
