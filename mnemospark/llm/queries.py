@@ -66,7 +66,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_round_trip(table(spark, sf_dir, "pages")).where("kind != 'gap'")
-    return found.select("page_id", F.col("declared_length").alias("payload_bytes"), F.when(F.col("kind") == "response", F.col("payload_sha1")).otherwise(F.col("digest")).alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+    return found.select("page_id", F.when(F.col("kind") == "response", F.length("payload").cast("long")).otherwise(F.col("declared_length")).alias("payload_bytes"), F.when(F.col("kind") == "response", F.col("payload_sha1")).otherwise(F.col("digest")).alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    model = url_filter.fit(url_filter.labelled_by(pages, URL_RULES))
+    model = url_filter.fit(url_filter.labelled(spark))
     return url_filter.judge(pages.select("page_id", "url"), URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", F.round("block_probability", 6).alias("block_probability"))
 
 

@@ -1,7 +1,9 @@
 """URL filter: host and path rules, then logistic regression on hashed character n-grams.
 
-Everything that touches the rows is a column expression. Only the fit leaves Spark: it
-works on a labelled table of at most ``max_rows`` URLs on the driver.
+The regression is trained from a small labelled URL table (url, blocked), a parameter;
+:func:`labelled` gives the one that comes with the library. Everything that touches the
+rows is a column expression. Only the fit leaves Spark: it works on at most ``max_rows``
+URLs on the driver.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and is
 judged by the model's intercept; repeated rows are judged alike; an empty table gives an
@@ -14,9 +16,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import url_labels
 from .common import ascii_lower, let
 
 
@@ -136,8 +139,6 @@ def judge(pages: DataFrame, rules: list[Rule], model: UrlModel, threshold: float
     )
 
 
-def labelled_by(pages: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The labelled table that a rule list makes: the URLs that it decides."""
-    blocked = [r.pattern for r in rules if r.verdict == "block"]
-    rule = rule_of(rules, host(F.col("url")), path(F.col("url")))
-    return pages.select("url", rule.alias("rule")).where("rule is not null").select("url", F.col("rule").isin(blocked).alias("blocked"))
+def labelled(spark: SparkSession) -> DataFrame:
+    """The library's own labelled table (url, blocked)."""
+    return spark.createDataFrame(url_labels.rows(), "url string, blocked boolean")

@@ -7,8 +7,9 @@ half file, and the archives can be in any store that Spark can write.
 
 Reading: archives come through Spark's binary reader, a file at a time. The parser checks
 each record: its version line, headers, block within the file, end mark, and payload
-digest. After a failed check it searches for the next version line or gzip member that
-parses, goes on there, and logs the bytes between as a quarantined gap.
+length and digest. After a failed check it searches for the next version line or gzip
+member that parses, goes on there, and logs the bytes between as a quarantined gap. Of a
+damaged gzip member it keeps the records that can be read.
 
 Defined results: a null html is an empty payload; a null url has an empty target; rows
 that share a page_id are separate records; an empty table gives an empty result. Extra
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +40,10 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SALTS = 16
 FILTER = 1 << 19
+CHUNK = 1 << 16
+BATCH_BYTES = 1 << 24
+#: Largest record of a class, and the records of a file: 64 MB at most, but for one record that is larger.
+CLASSES = ((1 << 17, 500), (1 << 21, 32), (1 << 25, 2), (None, 1))
 
 
 @dataclass(frozen=True)
@@ -78,17 +84,44 @@ def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     if headers.get("warc-type") not in TYPES or "warc-record-id" not in headers:
         raise ValueError("no record type or id")
     size = headers.get("content-length", "")
-    if not size.isdigit():
+    if not re.fullmatch("[0-9]{1,18}", size):
         raise ValueError("bad content length")
     end = head + 4 + int(size)
     if data[end : end + 4] != END:
         raise ValueError("no end mark after the block")
     block = data[head + 4 : end]
-    if headers["warc-type"] != "revisit" and headers.get("warc-payload-digest") not in (None, digest_header(payload_of(headers, block))):
-        raise ValueError("payload digest differs")
+    _checked(headers, block)
     return end + 4, headers, block
 
 
+def _checked(headers: dict[str, str], block: bytes) -> None:
+    """ValueError where the headers are damaged or contradict the payload; that of a revisit is elsewhere."""
+    declared, digest = headers.get("payload-length"), sha1_of(headers)
+    if declared is not None and not re.fullmatch("[0-9]{1,18}", declared):
+        raise ValueError("bad payload length")
+    if headers["warc-type"] == "revisit":
+        return
+    payload = payload_of(headers, block)
+    if declared is not None and int(declared) != len(payload):
+        raise ValueError("payload length differs")
+    if digest is not None and digest != hashlib.sha1(payload).hexdigest():
+        raise ValueError("payload digest differs")
+
+
+def sha1_of(headers: dict[str, str]) -> str | None:
+    """The payload digest in hex; None if there is none, or one of another algorithm."""
+    name, _, value = headers.get("warc-payload-digest", "").partition(":")
+    if name.lower() != "sha1":
+        return None
+    try:
+        raw = bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value)
+    except ValueError as e:  # binascii.Error is one
+        raise ValueError("bad payload digest") from e
+    if len(raw) != 20:
+        raise ValueError("bad payload digest")
+    return raw.hex()
+
+
 def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     """The block, without HTTP headers where it is an HTTP message."""
     if headers.get("content-type", "").startswith("application/http"):
@@ -96,44 +129,80 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     return block
 
 
-def _member(data: bytes, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
-    """End of the gzip member at ``at``, and its records."""
+def _member(data: bytes, at: int) -> tuple[int | None, bytes, str]:
+    """End of the gzip member at ``at``, or None, its plain bytes as far as they can be had, and what stopped them."""
     inflate = zlib.decompressobj(31)
+    view, place, plain = memoryview(data), at, []
     try:
-        plain = inflate.decompress(data[at:])
+        while not inflate.eof and place < len(data):
+            plain.append(inflate.decompress(view[place : place + CHUNK]))
+            place = min(len(data), place + CHUNK)
     except zlib.error as e:
-        raise ValueError(f"gzip: {e}") from e
+        return None, b"".join(plain), f"gzip: {e}"
     if not inflate.eof:
-        raise ValueError("gzip member does not end")
-    out, place = [], 0
-    while place < len(plain):
-        place, headers, block = _parse(plain, place)
-        out.append((headers, block))
-    return len(data) - len(inflate.unused_data), out
+        return None, b"".join(plain), "gzip member does not end"
+    return place - len(inflate.unused_data), b"".join(plain), ""
 
 
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """Records and gaps of an archive, in order; together they cover every byte."""
+def _plain(data: bytes) -> Iterator[Record | Gap]:
+    """Records and gaps of plain bytes."""
     at = 0
     lost, reason = None, ""
     while at < len(data):
         try:
-            if data.startswith(GZIP, at):
-                end, found = _member(data, at)
-            else:
-                end, headers, block = _parse(data, at)
-                found = [(headers, block)]
+            end, headers, block = _parse(data, at)
         except ValueError as e:
             if lost is None:
                 lost, reason = at, str(e)
-            after = [x for x in (data.find(VERSION, at + 1), data.find(GZIP, at + 1)) if x >= 0]
-            at = min(after, default=len(data))
+            after = data.find(VERSION, at + 1)
+            at = after if after >= 0 else len(data)
             continue
         if lost is not None:
             yield Gap(lost, at, reason)
             lost = None
-        for headers, block in found:
-            yield Record(at, end, headers, block)
+        yield Record(at, end, headers, block)
+        at = end
+    if lost is not None:
+        yield Gap(lost, len(data), reason)
+
+
+def salvage(data: bytes) -> Iterator[Record | Gap]:
+    """Records and gaps of an archive, in order; together they cover every byte.
+
+    Records of a gzip member have its place. A member that cannot be inflated to its end,
+    or that holds a damaged record, gives the records that can be read, and is a gap as well.
+    """
+    at = 0
+    lost, reason = None, ""
+    while at < len(data):
+        found: list[Record] = []
+        end, why = None, ""
+        if data.startswith(GZIP, at):
+            end, plain, why = _member(data, at)
+            for x in _plain(plain):
+                if isinstance(x, Gap):
+                    why = why or f"in the member, at {x.start}: {x.reason}"
+                else:
+                    found.append(x)
+        else:
+            try:
+                end, headers, block = _parse(data, at)
+                found = [Record(at, end, headers, block)]
+            except ValueError as e:
+                why = str(e)
+        if why and lost is None:
+            lost, reason = at, why
+        if end is None:
+            after = [x for x in (data.find(VERSION, at + 1), data.find(GZIP, at + 1)) if x >= 0]
+            end = min(after, default=len(data))
+        elif why:  # a whole member, in part damaged
+            yield Gap(lost, end, reason)
+            lost = None
+        elif lost is not None:
+            yield Gap(lost, at, reason)
+            lost = None
+        for x in found:
+            yield Record(at, end, x.headers, x.block)
         at = end
     if lost is not None:
         yield Gap(lost, len(data), reason)
@@ -144,21 +213,21 @@ def gzip_member(record: bytes) -> bytes:
     return deflate.compress(record) + deflate.flush()
 
 
-def records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """A ``record`` string for every row of ``pages`` (page_id, url, html).
+def records(pages: DataFrame, min_bytes: int = 1000, also: dict[str, Column] | None = None) -> DataFrame:
+    """A ``record`` string for every row of ``pages`` (page_id, url, html), and the columns of ``also``.
 
     The owner of a payload is found on digests alone, and only payloads that may have
     copies are shuffled. A payload that a third of the rows
     share is salted, so its rows meet their owner in many tasks.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.length(payload).alias("n"), F.sha1(payload).alias("sha1"))
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.length(payload).alias("n"), F.sha1(payload).alias("sha1"), *[c.alias(name) for name, c in (also or {}).items()])
     owners = staged(rows.where(F.col("n") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha1", "owner"), "owners")
     # payloads that surely have no copy stay where they are
     perhaps = _perhaps(owners)
     single = rows.where(~perhaps).withColumn("owner", F.lit(None).cast(rows.schema["page_id"].dataType))
     spread = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # of rows that share the largest page_id the first stays the response; they are equal but for their url
+    # rows that share the largest page_id are all responses
     salted = rows.where(perhaps).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     joined = single.unionByName(salted.join(spread, ["sha1", "salt"], "left").drop("salt"))
     revisit = F.coalesce(F.col("owner") != F.col("page_id"), F.lit(False)) & (F.col("n") >= min_bytes)
@@ -173,7 +242,7 @@ def records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
         F.when(revisit, F.concat(F.lit(f"{line}WARC-Refers-To: <urn:page:"), F.col("owner").cast("string"), F.lit(f">{line}WARC-Profile: {PROFILE}"))).otherwise(""),
         F.lit(f"{line}Content-Type: text/html{line}Content-Length: "), F.length(F.encode(block, "UTF-8")).cast("string"), F.lit(line + line), block,
     )
-    return joined.select(record.alias("record"))
+    return joined.select(record.alias("record"), *(also or {}))
 
 
 def _perhaps(owners: DataFrame) -> Column:
@@ -202,17 +271,27 @@ def _base32(hexed: Column) -> Column:
     return F.concat(*parts)
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 1000, file_records: int = 500) -> None:
-    """Write the archives of ``pages`` to the folder ``path``, ``file_records`` a file at most.
+def write(pages: DataFrame, path: str, min_bytes: int = 1000) -> None:
+    """Write the archives of ``pages`` to the folder ``path``, in files of bounded size.
 
-    A record string ends in CR LF CR; the line separator of the text writer is the last LF.
+    Records of like size share files, so that the number of records bounds the bytes; most
+    tables have one such class. A record string ends in CR LF CR; the line separator of
+    the text writer is the last LF.
     """
     spark = pages.sparkSession
+    size = F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0))
+    largest = [F.lit(most) for most, _ in CLASSES[:-1]]
+    number = F.lit(0)
+    for most in largest:
+        number = number + F.when(size > most, 1).otherwise(0)
+    present = sorted(r[0] for r in pages.select(number.alias("c")).distinct().collect()) or [0]
+    lines = records(pages, min_bytes, {"__class": number}).select(F.concat("record", F.lit("\r\n\r")).alias("value"), "__class")
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        lines = records(pages, min_bytes).select(F.concat("record", F.lit("\r\n\r")).alias("value"))
-        lines.write.option("lineSep", "\n").option("maxRecordsPerFile", file_records).text(path)
+        for c in present:
+            own = lines.where(F.col("__class") == c).select("value") if len(present) > 1 else lines.select("value")
+            own.write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", CLASSES[c][1]).text(path)
     finally:
         spark.conf.set(CLEANUP, before)
 
@@ -222,7 +301,8 @@ RECORDS = "file string, start long, end long, kind string, page_id long, url str
 
 def _page(urn: str) -> int | None:
     body = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(body) if body.lstrip("-").isdigit() else None
+    number = int(body) if re.fullmatch("-?[0-9]{1,19}", body) else None
+    return number if number is not None and -(2**63) <= number < 2**63 else None
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -233,17 +313,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows: list[tuple] = []
+                held = 0
                 for r in salvage(content.as_py()):
                     if isinstance(r, Gap):
                         rows.append((name.as_py(), r.start, r.end, "gap", None, None, None, None, None, None, None, r.reason))
                     else:
                         h, payload = r.headers, payload_of(r.headers, r.block)
-                        declared = base64.b32decode(h.get("warc-payload-digest", "sha1:").partition(":")[2]).hex()
                         refers = h.get("warc-refers-to")
-                        rows.append((name.as_py(), r.start, r.end, h.get("warc-type"), _page(h.get("warc-record-id", "")), h.get("warc-target-uri"), _page(refers) if refers else None, int(h.get("payload-length", len(payload))), payload, hashlib.sha1(payload).hexdigest(), declared, None))
-                    if len(rows) >= 200:
+                        rows.append((name.as_py(), r.start, r.end, h.get("warc-type"), _page(h.get("warc-record-id", "")), h.get("warc-target-uri"), _page(refers) if refers else None, int(h.get("payload-length", len(payload))), payload, hashlib.sha1(payload).hexdigest(), sha1_of(h), None))
+                        held += len(payload)
+                    if len(rows) >= 200 or held > BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
