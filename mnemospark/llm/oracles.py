@@ -12,7 +12,7 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 8)) AS k) GROUP BY 1),
 split_lines AS (SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS line FROM d),
 lines AS (SELECT doc_id, text, source, {WORDS.format('lower(line)')} AS w FROM split_lines),
-frequent AS (SELECT source, array_to_string(w, ' ') AS x FROM lines WHERE len(w) > 0 GROUP BY ALL HAVING count(DISTINCT text) > 50),
+frequent AS (SELECT source, array_to_string(w, ' ') AS x FROM lines WHERE len(w) > 0 GROUP BY ALL HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'text ' || text)) > 50),
 lost AS (SELECT doc_id, sum(len(w)) AS n FROM lines JOIN frequent ON frequent.x = array_to_string(w, ' ') AND frequent.source IS NOT DISTINCT FROM lines.source WHERE len(w) > 0 GROUP BY 1),
 m AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, text FROM w),

@@ -3,11 +3,12 @@
 Every line is normalised (lower case, white space collapsed) and hashed; a line that
 more than ``max_documents`` distinct documents of one host contain is boilerplate there,
 and goes. A document that loses more than ``max_lost`` of its words that way is
-depleted, and rejected. Exact copies of a document count as one document, so that copies
-alone make no line frequent.
+depleted, and rejected. Documents are counted by doc_id, so copies with ids of their own
+count each; rows without an id count by their text.
 
-Only hashes are shuffled, never texts. Counting groups by (host, line, document) first,
-and the rows of a hot line are salted before they meet its verdict.
+Only hashes are shuffled, never texts. The lines are split and hashed once, and staged.
+Counting groups by (host, line, document) first, and the rows of a hot line are salted
+before they meet its verdict.
 
 Defined results: a null or blank text has no words and fails the base rules; a null host
 is a host of its own; repeated rows get equal results; an empty table gives an empty
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, let, words
+from .common import WHITESPACE, let, staged, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -86,13 +87,14 @@ def line_hashes(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def frequent_lines(lines: DataFrame, max_documents: int) -> DataFrame:
     """host_hash, line_hash and documents of the lines above the limit."""
-    seen = lines.select("host_hash", "line_hash", "text_hash").distinct()
+    document = F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.col("text_hash").cast("string")))
+    seen = lines.select("host_hash", "line_hash", document.alias("document")).distinct()
     return seen.groupBy("host_hash", "line_hash").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > max_documents)
 
 
 def assess(docs: DataFrame, host: str = "source", max_documents: int = 50, max_lost: float = 0.5, min_words: int = 20) -> DataFrame:
     """doc_id, the measures, base_failed, lost_words and kept, a row for each document."""
-    lines = line_hashes(docs, host)
+    lines = staged(line_hashes(docs, host), "line_hashes")
     frequent = frequent_lines(lines, max_documents).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
     removed = salted.join(frequent, ["host_hash", "line_hash", "salt"]).groupBy("doc_id", "text_hash", "host_hash", "line_hash").agg(F.sum("line_words").alias("n"))
