@@ -5,8 +5,8 @@ the share of each language; the set of languages is the one with the best penali
 likelihood (BIC), grown from the strongest. The largest share names the text.
 
 The model is learned from a bounded sample: the labelled rows of at most ``max_docs``
-doc_ids, those with the smallest hashes. Its table has a row for each language (200 at
-most) and a column for each hashed n-gram.
+doc_ids, those with the smallest hashes. Its table has a row for each language of the
+sample and a column for each hashed n-gram.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; repeated
 rows get equal results; an empty table gives an empty result; without labelled rows
@@ -15,7 +15,6 @@ every text is ``und``. Extra columns are kept by :func:`predict`.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
-MAX_LANGS = 200
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
+TOLERANCE = 1e-4
+
+
+def has_letter(text: str) -> bool:
+    """A character of a letter category; digits, fractions and letter-like numbers are none."""
+    return any(map(str.isalpha, text))
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -60,27 +63,27 @@ def train(labelled: DataFrame, max_docs: int = 4000) -> tuple[list[str], np.ndar
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u)), pa.array(u.astype("i4")), pa.array(c)], ["lang", "gram", "n"])
 
     rows = sample.mapInArrow(count, "lang string, gram int, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
-    size: dict[str, float] = {}
-    for r in rows:
-        size[r["lang"]] = size.get(r["lang"], 0) + r["n"]
-    langs = sorted(sorted(size, key=lambda x: (-size[x], x))[:MAX_LANGS])
+    langs = sorted({r["lang"] for r in rows})
     at = {x: i for i, x in enumerate(langs)}
     counts = np.zeros((len(langs), BUCKETS))
     for r in rows:
-        if r["lang"] in at:
-            counts[at[r["lang"]], r["gram"]] = r["n"]
+        counts[at[r["lang"]], r["gram"]] = r["n"]
     smooth = counts + 0.05
     return langs, smooth / smooth.sum(1, keepdims=True)
 
 
-def em(p: np.ndarray, c: np.ndarray, steps: int = 12) -> tuple[np.ndarray, float]:
-    """Shares of the columns of ``p`` and the log-likelihood of counts ``c``."""
+def em(p: np.ndarray, c: np.ndarray, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
+    """Shares of the columns of ``p`` and the log-likelihood of counts ``c``.
+
+    Steps go on until none moves a share by more than ``tolerance``.
+    """
     share = np.full(p.shape[1], 1 / p.shape[1])
-    if len(share) > 1:
-        for _ in range(steps):
-            joint = p * share
-            share = (c / joint.sum(1)) @ joint
-            share /= share.sum()
+    moved = len(share) > 1
+    while moved:
+        new = share * ((c / (p @ share)) @ p)
+        new /= new.sum()
+        moved = np.abs(new - share).max() > tolerance
+        share = new
     return share, float(c @ np.log(p @ share))
 
 
@@ -112,7 +115,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "t
         for batch in batches:
             found = []
             for t in batch.column(batch.num_columns - 1).to_pylist():
-                if not langs or t is None or not LETTER.search(t):
+                if not langs or t is None or not has_letter(t):
                     found.append((UND, 0.0, ""))
                 else:
                     which, share = mixture(shared.value, t)

@@ -10,20 +10,24 @@ The rates start at 1 and every step moves a document's rate by the residuals of
 domains, weighted by its posterior, so a document's rate depends on its own posterior
 and on the residuals only. Residuals are a few numbers a step; they are the whole state,
 nothing of the size of the corpus is kept between steps, and each step is one
-aggregation without a shuffle of rows.
+aggregation without a shuffle of rows. Steps go on until every domain is within the
+tolerance of its target, or no step comes nearer: targets that no rates reach leave the
+least-squares rates, and a warning with the shares reached.
 
 The labelled sample is bounded: the label rows of ``max_labels`` doc_ids, those with the
 smallest hashes. All else covers all documents.
 
 Defined results: a null or blank text has no tokens, the prior as its posterior, and
 rate 1; label rows that are null or disagree are left out; without labels all documents
-are of one domain; repeated rows are rated each; an empty table gives an empty result.
+are of one domain; repeated rows, and rows without an id, are rated and drawn each; an
+empty table gives an empty result.
 Extra columns are kept by :func:`mix`.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,7 +97,7 @@ def posteriors(docs: DataFrame, model: Classifier, text: str = "text") -> DataFr
 
 
 def rate(history: list[np.ndarray], ceiling: float) -> Column:
-    """A document's rate after the steps of ``history``: each a scaled residual for each domain."""
+    """A document's rate after the steps of ``history``: each a scaled residual for each domain. Without tokens it is 1."""
     if not history:
         return F.lit(1.0)
     steps = F.lit(np.array(history).reshape(-1))
@@ -105,15 +109,16 @@ def rate(history: list[np.ndarray], ceiling: float) -> Column:
             move = move + F.element_at("posterior", d + 1) * F.element_at(steps, j * k + d + 1)
         return F.greatest(F.lit(0.0), F.least(F.lit(ceiling), r - move))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(history) - 1)), F.lit(1.0), step)
+    return F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(len(history) - 1)), F.lit(1.0), step))
 
 
-def solve(rows: DataFrame, targets: dict[str, float], domains: tuple[str, ...], anchor: str | None = None, steps: int = 24, tolerance: float = 1e-3, ceiling: float = 1e6) -> tuple[list[np.ndarray], np.ndarray]:
+def solve(rows: DataFrame, targets: dict[str, float], domains: tuple[str, ...], anchor: str | None = None, tolerance: float = 1e-3, ceiling: float = 1e6, patience: int = 8) -> tuple[list[np.ndarray], np.ndarray]:
     """Residual history and reached totals for staged ``rows`` (tokens, posterior).
 
     ``targets`` are shares of the mixed tokens, which are as many as there are, or, with an
     ``anchor``, so many that this domain keeps ``SPARE`` times its own tokens at least. The Gram matrix of the posteriors, weighted by
-    tokens, bounds the step length.
+    tokens, bounds the step length. After ``patience`` steps that come no nearer than the
+    best before them, the best stands.
     """
     k = len(domains)
     p = [F.element_at("posterior", d + 1) for d in range(k)]
@@ -130,15 +135,21 @@ def solve(rows: DataFrame, targets: dict[str, float], domains: tuple[str, ...],
     # the step is a gradient step in the metric of the Gram matrix, kept well defined by a small ridge
     metric = np.linalg.inv(gram + 1e-6 * np.trace(gram) * np.eye(k))
     history: list[np.ndarray] = []
-    reached = np.zeros(k)
-    for _ in range(steps):
+    best, least, kept = np.zeros(k), np.inf, 0
+    while True:
         got = rows.agg(*[F.sum(F.col("tokens") * p[d] * rate(history, ceiling)) for d in range(k)]).first()
         reached = np.array([float(x or 0) for x in got]) / total
         residual = reached - want
-        if np.abs(residual).max() <= tolerance:
+        far = np.abs(residual).max()
+        if far < 0.99 * least:
+            best, least, kept = reached, far, len(history)
+        if far <= tolerance:
+            break
+        if len(history) - kept >= patience:
+            warnings.warn(f"the targets cannot be reached: wanted {want.tolist()} of the tokens, reached {best.tolist()}", stacklevel=2)
             break
         history.append(metric @ residual)
-    return history, reached
+    return history[:kept], best
 
 
 def copies(r: Column, key: Column) -> Column:
@@ -157,6 +168,6 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: l
     keep = docs.columns if keep is None else keep
     model = fit(docs, labelled, max_labels)
     scored = posteriors(docs.select(*keep, F.col("text").alias("__text")), model, "__text").drop("__text")
-    rows = staged(scored, "mixing")
+    rows = staged(scored.withColumn("__row", F.monotonically_increasing_id()), "mixing")  # as written; a lost task changes no draw
     history, _ = solve(rows, targets, model.domains, anchor)
-    return rows.withColumn("rate", F.round(rate(history, 1e6), 6)).withColumn("copies", copies(F.col("rate"), F.col("doc_id"))), model
+    return rows.withColumn("rate", F.round(rate(history, 1e6), 6)).withColumn("copies", copies(F.col("rate"), F.col("__row"))).drop("__row"), model

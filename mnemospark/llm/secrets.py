@@ -3,15 +3,22 @@
 All of it is column expressions over whole texts; no row is shuffled but a histogram of
 p-values with a bounded number of bins.
 
-A candidate of the battery is a run of 20 or more characters of the base64 alphabets.
-Its encoding (hex, base32, base36, base62, base64) is inferred from the characters seen.
-Within that alphabet it must pass tests of randomness: chi-squared uniformity of the
-characters and, where an alphabet has them, of digits, capitals and small letters; the
-runs test about the median; and lag-one serial correlation. Passing them proves little
-for a short string, so the fourth figure is ``p_text``: the probability that ordinary
-text of that length would look as uniform. Benjamini-Hochberg over all candidates of the
-corpus sets the largest ``p_text`` at which the expected share of false discoveries
-stays at ``fdr``.
+A candidate of the battery is a run of ``LEAST`` or more characters of the base64 alphabets.
+Its encoding (decimal, hex, letters of one or both cases, base32, base36, base62, base64) is
+inferred from the characters seen. Within that alphabet it must pass tests of randomness:
+uniformity of the characters, by chi-squared as the number X of equal pairs; chi-squared of
+digits, capitals and small letters; the runs test about the median; and lag-one serial
+correlation. Passing them proves little for a short string, so the last figure is
+``p_text``: the probability that ordinary text of that length would look as random. It
+combines two p-values by Fisher's rule: that of so few equal pairs, when characters are as
+uneven as in text, and that of so many digits. For hex it is the chance that letters of text
+are all in a to f. Numbers are as uniform in text as in keys, so for decimals it is 1.
+
+X is neither normal nor Poisson at these lengths; its tails are those of the gamma
+distribution with the exact mean and variance. False discoveries are controlled by length:
+Benjamini-Hochberg over the candidates of the corpus, for each class of lengths apart, sets
+the largest ``p_text`` at which the expected share of false discoveries stays at ``fdr``.
+So the many short ordinary words cost the long candidates no power.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get equal
 results; an empty table gives an empty result; extra columns are kept by :func:`scan`,
@@ -32,21 +39,30 @@ PATTERNS = {
     "hex": (r"[0-9a-f]{16,}", 0, 16),
 }
 RANDOM = "random"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+LEAST = 12
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+={0,2}"
+DIGITS, CAPITALS, SMALL = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: encoding -> (characters it may have, its alphabet for the tests), most special first.
 ENCODINGS = {
-    "hex": (r"\A(?:[0-9a-f]+|[0-9A-F]+)\z", "0123456789abcdef"),
-    "base32": (r"\A[A-Z2-7]+\z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    "base36": (r"\A(?:[0-9a-z]+|[0-9A-Z]+)\z", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    "base62": (r"\A[0-9A-Za-z]+\z", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    "base64": (r"\A[0-9A-Za-z+/]+\z", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"),
-    "base64url": (r"\A[0-9A-Za-z_-]+\z", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_"),
+    "decimal": (r"\A[0-9]+\z", DIGITS),
+    "hex": (r"\A(?:[0-9a-f]+|[0-9A-F]+)\z", DIGITS + "abcdef"),
+    "base26": (r"\A(?:[a-z]+|[A-Z]+)\z", SMALL),
+    "base32": (r"\A[A-Z2-7]+\z", CAPITALS + "234567"),
+    "base36": (r"\A(?:[0-9a-z]+|[0-9A-Z]+)\z", DIGITS + SMALL),
+    "base52": (r"\A[A-Za-z]+\z", CAPITALS + SMALL),
+    "base62": (r"\A[0-9A-Za-z]+\z", DIGITS + CAPITALS + SMALL),
+    "base64": (r"\A[0-9A-Za-z+/]+\z", DIGITS + CAPITALS + SMALL + "+/"),
+    "base64url": (r"\A[0-9A-Za-z_-]+\z", DIGITS + CAPITALS + SMALL + "-_"),
 }
-#: Probability that two letters drawn from natural text are equal.
-COINCIDENCE = 0.066
+#: Probabilities that two and that three letters drawn from natural text are equal.
+PAIR, TRIPLE = 0.066, 0.0054
+#: Share of digits in the long runs of ordinary text, and that of a to f among its letters.
+DIGIT_SHARE, HEX_SHARE = 0.05, 0.32
+#: First lengths of the classes within which false discoveries are controlled.
+LENGTHS = (12, 16, 20, 24, 32, 48, 64, 128)
 BINS = 400
-#: Chi-squared of two degrees of freedom at one in a hundred.
-KINDS = 9.21
+#: Chi-squared of one and of two degrees of freedom at one in a hundred.
+KINDS = {1: 6.63, 2: 9.21}
 
 
 def _found(text: Column, pattern: str, group: int, least: int, kind: str, order: int) -> Column:
@@ -84,53 +100,77 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z > 0, 1 - tail).otherwise(tail)
 
 
-def kinds(body: Column, n: Column, k: Column) -> Column:
-    """Chi-squared of the numbers of digits, capitals and small letters."""
+def gamma_z(x: Column, mean: Column, variance: Column) -> Column:
+    """Normal score of x in the gamma distribution with this mean and variance (Wilson and Hilferty)."""
+    shape = mean * mean / variance
+    return 3 * F.sqrt(shape) * (F.pow(x / mean, F.lit(1 / 3)) - 1 + 1 / (9 * shape))
+
+
+def kinds_fit(body: Column, n: Column, alphabet: str) -> Column:
+    """Whether the numbers of digits, capitals and small letters are what the alphabet gives."""
+    sizes = [(p, sum(c in kind for c in alphabet)) for p, kind in (("[0-9]", DIGITS), ("[A-Z]", CAPITALS), ("[a-z]", SMALL))]
+    sizes = [(p, size) for p, size in sizes if size]
+    if len(sizes) < 2:
+        return F.lit(True)
     out = F.lit(0.0)
-    for pattern, size in (("[0-9]", 10), ("[A-Z]", 26), ("[a-z]", 26)):
-        expected = n * size / k
+    for pattern, size in sizes:
+        expected = n * size / sum(x for _, x in sizes)
         out = out + F.pow(F.regexp_count(body, F.lit(pattern)) - expected, F.lit(2)) / expected
-    return out
+    return out < KINDS[len(sizes) - 1]
+
+
+def p_of_digits(digits: Column, n: Column) -> Column:
+    """Chernoff's bound on the chance of so many digits among n characters of ordinary text."""
+    share = digits / n
+    other = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - DIGIT_SHARE))).otherwise(F.lit(0.0))
+    return F.when(share > DIGIT_SHARE, F.exp(-n * (share * F.log(share / DIGIT_SHARE) + other))).otherwise(F.lit(1.0))
+
+
+def p_text(encoding: Column, equal: Column, n: Column, digits: Column, letters: Column) -> Column:
+    """Chance that ordinary text has as few equal pairs and as many digits."""
+    pairs = n * (n - 1) / 2
+    variance = pairs * (PAIR - PAIR**2) + n * (n - 1) * (n - 2) * (TRIPLE - PAIR**2)
+    both = normal_cdf(gamma_z(equal + 0.5, pairs * PAIR, variance)) * p_of_digits(digits, n)
+    return F.when(encoding == "decimal", 1.0).when(encoding == "hex", F.pow(F.lit(HEX_SHARE), letters)).otherwise(F.least(F.lit(1.0), both * (1 - F.log(F.greatest(both, F.lit(1e-300))))))
 
 
 def battery(token: Column) -> Column:
-    """Struct of encoding, z of chi-squared, runs and serial tests, and p_text; null if no encoding fits."""
+    """Struct of encoding, fit of the kinds, z of uniformity, runs and serial tests, and p_text; null if no encoding fits."""
     body = F.rtrim(token, F.lit("="))
     out = F.lit(None)
     for name, (allowed, alphabet) in reversed(ENCODINGS.items()):
-        own = F.when(F.upper(body) == body, F.lower(body)).otherwise(body) if name in ("hex", "base36") else body
-        out = F.when(body.rlike(allowed), F.struct(F.lit(name).alias("encoding"), own.alias("body"), F.lit(alphabet).alias("alphabet"))).otherwise(out)
-    mixed = body.rlike("[0-9]") & body.rlike("[A-Za-z]")
+        own = F.when(F.upper(body) == body, F.lower(body)).otherwise(body) if name in ("hex", "base26", "base36") else body
+        out = F.when(body.rlike(allowed), F.struct(F.lit(name).alias("encoding"), own.alias("body"), F.lit(alphabet).alias("alphabet"), kinds_fit(own, F.length(body).cast("double"), alphabet).alias("kinds"))).otherwise(out)
 
     def tests(e: Column) -> Column:
         def over(v: Column) -> Column:
             n, k = F.size(v).cast("double"), F.length(e["alphabet"]).cast("double")
             counts = F.transform(F.sequence(F.lit(1), F.length(e["alphabet"])), lambda a: F.size(F.filter(v, lambda x: x == a)).cast("double"))
-            chi = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c) * k / n - n
+            equal = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * (c - 1) / 2)
             mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
             square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
             pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
             high = F.size(F.filter(v, lambda x: x * 2 > k)).cast("double")
 
             def figures(f: Column) -> Column:
-                chi, mean, square, high, changes, products = (f[x] for x in ("chi", "mean", "square", "high", "changes", "products"))
-                excess = k * F.lit(COINCIDENCE) - 1
-                excess = F.when(excess > 1, excess).otherwise(F.lit(1.0))
+                equal, mean, square, high, changes, products = (f[x] for x in ("equal", "mean", "square", "high", "changes", "products"))
                 runs_mean = 2 * high * (n - high) / n + 1
                 runs_var = (runs_mean - 1) * (runs_mean - 2) / (n - 1)
                 variance = square - n * mean * mean
                 serial = F.when(variance > 0, (products - (n - 1) * mean * mean) / variance * F.sqrt(n))
+                expected = n * (n - 1) / 2 / k
+                digits, letters = (F.regexp_count(e["body"], F.lit(x)) for x in ("[0-9]", "[A-Za-z]"))
                 return F.struct(
                     e["encoding"].alias("encoding"),
-                    F.when(e["encoding"].isin("base62", "base64", "base64url"), kinds(e["body"], n, k)).alias("chi_kinds"),
-                    ((chi - (k - 1)) / F.sqrt(2 * (k - 1))).alias("z_uniform"),
+                    e["kinds"].alias("kinds"),
+                    gamma_z(equal, expected, expected * (1 - 1 / k)).alias("z_uniform"),
                     F.when(runs_var > 0, (changes + 1 - runs_mean) / F.sqrt(runs_var)).alias("z_runs"),
                     serial.alias("z_serial"),
-                    normal_cdf((chi - (k - 1) - n * excess) / F.sqrt(2 * (k - 1) + 4 * n * excess)).alias("p_text"),
+                    p_text(e["encoding"], equal, n, digits.cast("double"), letters.cast("double")).alias("p_text"),
                 )
 
             f = F.struct(
-                chi.alias("chi"), mean.alias("mean"), square.alias("square"), high.alias("high"),
+                equal.alias("equal"), mean.alias("mean"), square.alias("square"), high.alias("high"),
                 F.size(F.filter(pairs, lambda p: (p["a"] * 2 > k) != (p["b"] * 2 > k))).cast("double").alias("changes"),
                 F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["a"] * p["b"]).alias("products"),
             )
@@ -138,12 +178,12 @@ def battery(token: Column) -> Column:
 
         return let(F.transform(F.split(e["body"], ""), lambda c: F.instr(e["alphabet"], c)), over)
 
-    return F.when(mixed, let(out, lambda e: F.when(e.isNotNull(), tests(e))))
+    return let(out, lambda e: F.when(e.isNotNull(), tests(e)))
 
 
 def looks_random(b: Column, z: float = 3.29) -> Column:
     """No test rejects randomness at the two-sided level of ``z``."""
-    return F.coalesce((b["z_uniform"] < z) & (F.coalesce(b["chi_kinds"], F.lit(0.0)) < KINDS) & (F.abs(b["z_runs"]) < z) & (F.abs(b["z_serial"]) < z), F.lit(False))
+    return F.coalesce((b["z_uniform"] < z) & b["kinds"] & (F.abs(b["z_runs"]) < z) & (F.abs(b["z_serial"]) < z), F.lit(False))
 
 
 def _bin(p: Column) -> Column:
@@ -151,17 +191,28 @@ def _bin(p: Column) -> Column:
     return F.least(F.lit(BINS), F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-40))))).cast("int")
 
 
-def _threshold(tested: DataFrame, fdr: float) -> int:
-    """Least bin that Benjamini-Hochberg accepts; BINS + 1 if none.
+def _class(n: Column) -> Column:
+    """Number of the class of lengths."""
+    out = F.lit(0)
+    for least in LENGTHS[1:]:
+        out = out + F.when(n >= least, 1).otherwise(0)
+    return out
+
+
+def _thresholds(tested: DataFrame, fdr: float) -> list[int]:
+    """For each class of lengths the least bin that Benjamini-Hochberg accepts; BINS + 1 if none.
 
-    The histogram has BINS + 1 rows at most, however large the corpus.
+    The histogram has (BINS + 1) * len(LENGTHS) rows at most, however large the corpus.
     """
-    counts = dict(tested.select(F.explode("candidates").alias("c")).groupBy(F.col("c.bin").alias("bin")).count().where("bin is not null").collect())
-    total, seen, out = sum(counts.values()), 0, BINS + 1
-    for b in range(BINS, -1, -1):
-        seen += counts.get(b, 0)
-        if counts.get(b) and 10 ** (-b / 10) <= fdr * seen / total:
-            out = b
+    counts = {(r["class"], r["bin"]): r["count"] for r in tested.select(F.explode("candidates").alias("c")).groupBy("c.class", "c.bin").count().where("bin is not null").collect()}
+    out = []
+    for k in range(len(LENGTHS)):
+        total, seen, least = sum(n for (c, _), n in counts.items() if c == k), 0, BINS + 1
+        for b in range(BINS, -1, -1):
+            seen += counts.get((k, b), 0)
+            if counts.get((k, b)) and 10 ** (-b / 10) <= fdr * seen / total:
+                least = b
+        out.append(least)
     return out
 
 
@@ -181,16 +232,16 @@ def scan(docs: DataFrame, fdr: float = 0.01, keep: tuple[str, ...] = ("doc_id",)
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(*[_found(text, p, g, n, kind, i) for i, (kind, (p, g, n)) in enumerate(PATTERNS.items())]))
-    found = _found(text, CANDIDATE, 0, 20, RANDOM, len(PATTERNS))
+    found = _found(text, CANDIDATE, 0, LEAST, RANDOM, len(PATTERNS))
 
     def rated(c: Column) -> Column:
-        return let(battery(c["hit"]), lambda b: F.struct(c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end"), c["kind"].alias("kind"), c["hit"].alias("hit"), looks_random(b).alias("random"), _bin(b["p_text"]).alias("bin")))
+        return let(battery(c["hit"]), lambda b: F.struct(c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end"), c["kind"].alias("kind"), c["hit"].alias("hit"), looks_random(b).alias("random"), _bin(b["p_text"]).alias("bin"), _class(c["end"] - c["start"]).alias("class")))
 
     tested = staged(docs.select(*keep, base.alias("base_spans"), F.transform(found, rated).alias("candidates")), "secrets")
-    least = _threshold(tested, fdr)
+    least = F.array(*[F.lit(x) for x in _thresholds(tested, fdr)])
 
     def added(base: Column) -> Column:
-        hit = F.filter(F.col("candidates"), lambda c: c["random"] & (c["bin"] >= least) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+        hit = F.filter(F.col("candidates"), lambda c: c["random"] & (c["bin"] >= F.element_at(least, c["class"] + 1)) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
         return F.array_sort(F.concat(base, F.transform(hit, lambda c: F.struct(c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end"), c["kind"].alias("kind"), c["hit"].alias("hit"), F.lit(True).alias("keep")))))
 
     return tested.select(*keep, "base_spans", added(F.col("base_spans")).alias("spans"))

@@ -70,15 +70,15 @@ def test_quality_measures(docs, odd):
 
 def test_quality_verdict(docs):
     rows = docs.select("doc_id", "text", "source").collect()
-    texts = defaultdict(set)
+    documents = defaultdict(set)
     for r in rows:
         for line in (r["text"] or "").split("\n"):
             if w := split(line.lower()):
-                texts[r["source"], tuple(w)].add(r["text"])
+                documents[r["source"], tuple(w)].add(r["doc_id"])
     expected = {}
     for r in rows:
         n, _, _, _, repeat = base_measures(r["text"])
-        lost = sum(len(w) for line in (r["text"] or "").split("\n") if (w := split(line.lower())) and len(texts[r["source"], tuple(w)]) > 2)
+        lost = sum(len(w) for line in (r["text"] or "").split("\n") if (w := split(line.lower())) and len(documents[r["source"], tuple(w)]) > 2)
         failed = n < 20 or 100 * repeat > 30 * n
         expected[r["doc_id"]] = (failed, not failed and lost <= 0.5 * n, lost)
     got = {r["doc_id"]: (r["base_failed"], r["kept"], r["lost_words"]) for r in quality.assess(docs, max_documents=2).collect()}
@@ -141,6 +141,97 @@ def test_secret_battery(spark):
     assert not any("random" in got[i] for i in range(20, 24))
 
 
+def slow_battery(token):
+    """Plain loops over one token: encoding, whether it looks random, and p_text."""
+    import math
+
+    body = token.rstrip("=")
+    name, alphabet = next((k, a) for k, (allowed, a) in secrets.ENCODINGS.items() if re.fullmatch(allowed.replace("\\A", "").replace("\\z", ""), body))
+    if name in ("hex", "base26", "base36") and body == body.upper():
+        body = body.lower()
+    n, k = len(body), len(alphabet)
+    phi = lambda z: math.erfc(-z / 2**0.5) / 2
+
+    def gamma_z(x, mean, var):
+        a = mean * mean / var
+        return 3 * a**0.5 * ((x / mean) ** (1 / 3) - 1 + 1 / (9 * a))
+
+    equal = sum(c * (c - 1) / 2 for c in Counter(body).values())
+    want = n * (n - 1) / 2 / k
+    v = [alphabet.index(c) + 1 for c in body]
+    up = [x * 2 > k for x in v]
+    high = sum(up)
+    mean = sum(v) / n
+    var = sum(x * x for x in v) - n * mean * mean
+    runs_mean = 2 * high * (n - high) / n + 1
+    runs_var = (runs_mean - 1) * (runs_mean - 2) / (n - 1)
+    fits = var > 0 and runs_var > 0
+    if fits:
+        z_runs = (sum(a != b for a, b in zip(up, up[1:], strict=False)) + 1 - runs_mean) / runs_var**0.5
+        z_serial = (sum(a * b for a, b in zip(v, v[1:], strict=False)) - (n - 1) * mean * mean) / var * n**0.5
+        fits = gamma_z(equal, want, want * (1 - 1 / k)) < 3.29 and abs(z_runs) < 3.29 and abs(z_serial) < 3.29
+    groups = [(sum(c in g for c in body), sum(c in g for c in alphabet)) for g in (secrets.DIGITS, secrets.CAPITALS, secrets.SMALL)]
+    groups = [(seen, size) for seen, size in groups if size]
+    if len(groups) > 1:
+        all_ = sum(size for _, size in groups)
+        fits = fits and sum((seen - n * size / all_) ** 2 / (n * size / all_) for seen, size in groups) < {2: 6.63, 3: 9.21}[len(groups)]
+    digits = sum(c.isdigit() for c in body)
+    if name == "decimal":
+        p = 1.0
+    elif name == "hex":
+        p = 0.32 ** (n - digits)
+    else:
+        pairs = n * (n - 1) / 2
+        low = phi(gamma_z(equal + 0.5, pairs * 0.066, pairs * (0.066 - 0.066**2) + n * (n - 1) * (n - 2) * (0.0054 - 0.066**2)))
+        d = digits / n
+        tail = math.exp(-n * (d * math.log(d / 0.05) + ((1 - d) * math.log((1 - d) / 0.95) if d < 1 else 0))) if d > 0.05 else 1.0
+        p = min(1.0, low * tail * (1 - math.log(max(low * tail, 1e-300))))
+    return name, fits, p
+
+
+def test_secret_battery_matches_slow_version(spark, docs):
+    import random
+
+    rng = random.Random(6)
+    alphabets = [secrets.DIGITS, "0123456789abcdef", secrets.SMALL, secrets.CAPITALS + "234567", secrets.DIGITS + secrets.SMALL, secrets.CAPITALS + secrets.SMALL, secrets.DIGITS + secrets.CAPITALS + secrets.SMALL, secrets.DIGITS + secrets.CAPITALS + secrets.SMALL + "+/", "ab"]
+    tokens = {"".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (12, 13, 20, 33, 64, 200)} | {"a" * 30, "Z" * 12 + "==", "-" * 20, "see_the_release_notes", "x" * 5000}
+    tokens |= {m[0] for r in docs.limit(60).collect() for m in re.finditer(secrets.CANDIDATE, r["text"] or "")}
+    rows = spark.createDataFrame([(t,) for t in sorted(tokens)], "t string").select("t", secrets.battery(F.col("t")).alias("b")).select("t", "b.encoding", secrets.looks_random(F.col("b")).alias("random"), "b.p_text").collect()
+    assert len(rows) == len(tokens)
+    for r in rows:
+        name, fits, p = slow_battery(r["t"])
+        assert (r["encoding"], r["random"]) == (name, fits), r
+        assert abs(r["p_text"] - p) <= 1e-6 + 1e-3 * p, (r, p)
+
+
+@pytest.mark.parametrize("alphabet, n, least", [("hex", 24, 0.7), ("HEX", 32, 0.85), ("base32", 48, 0.75), ("base62", 24, 0.6), ("base62", 32, 0.85), ("base52", 48, 0.8)])
+def test_secret_battery_power(spark, docs, alphabet, n, least):
+    """Recall of planted random tokens, a tenth of the candidates of their length or less, and no clean text taken."""
+    import random
+
+    rng = random.Random(n)
+    letters = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF"}.get(alphabet) or secrets.ENCODINGS[alphabet][1]
+    clean = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    planted = [(10_000 + i, f"the value {''.join(rng.choice(letters) for _ in range(n))} is here") for i in range(40)]
+    got = secret_rows(spark.createDataFrame(clean + planted, "doc_id long, text string"))
+    hits = sum(bool(r["spans"]) for r in got if r["doc_id"] >= 10_000)
+    assert hits >= least * 40
+    assert sum(s["kind"] == "random" for r in got if r["doc_id"] < 10_000 for s in r["spans"]) <= 3
+
+
+def test_secret_null_of_text():
+    """p_text against simulated text: letters drawn with the frequencies of English."""
+    import numpy as np
+
+    weights = np.array([8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.15, 2.0, 0.07])
+    rng = np.random.default_rng(1)
+    for n in (12, 20, 32, 64):
+        draws = rng.choice(26, (4000, n), p=weights / weights.sum())
+        p = np.array([slow_battery("".join(chr(97 + c) for c in d))[2] for d in draws])
+        for level in (0.01, 0.05, 0.2):
+            assert (p <= level).mean() <= 1.6 * level + 0.004, (n, level)
+
+
 def test_secret_edges(none):
     assert secret_rows(none) == []
 
@@ -308,6 +399,58 @@ def test_language_mixture(spark, docs):
     assert [langs[i] for i in which[:2]] == ["en", "de"] and 0.5 < share[0] < 0.85
 
 
+def slow_em(p, c):
+    """Shares by plain loops, run far beyond convergence, and the log-likelihood."""
+    import math
+
+    k = len(p[0])
+    share = [1 / k] * k
+    for _ in range(3000):
+        new = [0.0] * k
+        for row, count in zip(p, c, strict=True):
+            whole = sum(a * b for a, b in zip(row, share, strict=True))
+            for j in range(k):
+                new[j] += count * row[j] * share[j] / whole
+        share = [x / sum(new) for x in new]
+    return share, sum(n * math.log(sum(a * b for a, b in zip(row, share, strict=True))) for row, n in zip(p, c, strict=True))
+
+
+def test_language_em_matches_slow_version(docs):
+    """Shares, likelihood and the chosen set of languages against plain loops."""
+    import math
+
+    langs, model = language.train(docs)
+    texts = [r["text"][:160] for r in docs.where("length(text) > 400").orderBy("doc_id").limit(6).collect()]
+    for text in [*texts, texts[0][:80] + texts[3][:80], "a", "zzzz"]:
+        u, c = language.grams(text)
+        p = model.T[u]
+        share, fit = language.em(p, c)
+        want, best = slow_em(p.tolist(), c.tolist())
+        assert fit <= best + 1e-6 and best - fit < 0.05 and max(abs(a - b) for a, b in zip(share, want, strict=True)) < 0.02
+        order = sorted(range(len(langs)), key=lambda j: -want[j])
+        chosen = 1
+        fits = [slow_em(p[:, order[: k + 1]].tolist(), c.tolist())[1] for k in range(len(langs))]
+        while chosen < len(langs) and fits[chosen] - fits[chosen - 1] > 0.5 * math.log(c.sum()):
+            chosen += 1
+        assert {int(i) for i in language.mixture(model.T.copy(), text)[0]} == set(order[:chosen])
+
+
+def test_language_letters(spark, docs):
+    langs, model = language.train(docs)
+    rows = [(1, "½ ²"), (2, "Ⅷ"), (3, "123 _ !"), (4, "日本"), (5, "x")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string"), langs, model).collect()}
+    assert got[1] == got[2] == got[3] == "und" and got[4] != "und" and got[5] != "und"
+
+
+def test_language_many_languages_and_ties(spark):
+    rows = [(i, f"word{i:03d} " * 3, f"l{i:03d}") for i in range(250)] + [(900, "tie tie", "x"), (901, "tie tie", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, model = language.train(df)
+    assert len(langs) == 252
+    got = {r["doc_id"]: r for r in language.predict(df, langs, model).collect()}
+    assert got[900]["lang_pred"] == got[901]["lang_pred"] in ("x", "y")
+
+
 def test_language_edges(odd, none, docs):
     langs, model = language.train(docs)
     got = {r["doc_id"]: r for r in language.predict(odd, langs, model).collect()}
@@ -334,6 +477,57 @@ def test_mixing_targets(spark, docs):
     assert sum(hits) >= 0.9 * len(hits)
 
 
+def test_mixing_matches_slow_version(spark, docs):
+    """Posteriors against plain counting, rates against plain projected gradient steps."""
+    import math
+
+    import numpy as np
+
+    rows = docs.select("doc_id", "text").limit(60).collect()
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(r["doc_id"], "ab"[i % 2]) for i, r in enumerate(rows[:40])], "doc_id long, domain string")
+    targets = {"a": 0.7, "b": 0.3}
+    rated, model = mixing.mix(some, labels, targets)
+    got = {r["doc_id"]: r for r in rated.collect()}
+    bucket = {r["doc_id"]: r["b"] for r in some.select("doc_id", mixing.buckets(F.col("text")).alias("b")).collect()}
+    counts = np.full((2, mixing.BUCKETS), 0.5)
+    for i, r in enumerate(rows[:40]):
+        for b in bucket[r["doc_id"]] or []:
+            counts[i % 2, b] += 1
+    logs = np.log(counts / counts.sum(1, keepdims=True))
+    tokens, post = [], []
+    for r in rows:
+        b = bucket[r["doc_id"]] or []
+        score = [math.log(0.5) + (2 / math.sqrt(len(b)) * sum(logs[k, x] - logs[0, x] for x in b) if b else 0) for k in range(2)]
+        e = [math.exp(x - max(score)) for x in score]
+        tokens.append(len(b))
+        post.append([x / sum(e) for x in e])
+        assert got[r["doc_id"]]["tokens"] == len(b) and max(abs(x - y) for x, y in zip(got[r["doc_id"]]["posterior"], post[-1], strict=True)) < 1e-9
+    t, p = np.array(tokens, float), np.array(post)
+    want = np.array([0.7, 0.3])
+    gram = (p * t[:, None]).T @ p / t.sum()
+    metric = np.linalg.inv(gram + 1e-6 * np.trace(gram) * np.eye(2))
+    rate = np.ones(len(t))
+    for _ in range(1000):
+        residual = (p * (t * rate)[:, None]).sum(0) / t.sum() - want
+        if np.abs(residual).max() <= 1e-3:
+            break
+        rate = np.maximum(0, rate - p @ (metric @ residual))
+    rate[t == 0] = 1
+    assert max(abs(got[r["doc_id"]]["rate"] - x) for r, x in zip(rows, rate, strict=True)) < 1e-4
+
+
+def test_mixing_blank_rates_and_draws(spark):
+    text = {"a": "red apple tree " * 9, "b": "cold iron bolt " * 9}
+    rows = [(i, text["ab"[i % 2]]) for i in range(40)] + [(None, text["a"])] * 30 + [(100, None), (101, " \n"), (102, "")]
+    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "doc_id long, domain string")
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string"), labels, {"a": 0.45, "b": 0.55})[0].collect()
+    assert all(r["rate"] == 1 and r["copies"] == 1 for r in got if r["tokens"] == 0)
+    assert len({r["copies"] for r in got if r["doc_id"] is None}) > 1  # each row has a draw of its own
+    with pytest.warns(UserWarning, match="cannot be reached"):
+        mixing.mix(spark.createDataFrame([(1, text["a"]), (2, text["a"])], "doc_id long, text string"), labels.where("doc_id in (1, 2)"), {"a": 0.9, "b": 0.1})
+
+
 def test_mixing_edges(spark, odd, none):
     labels = spark.createDataFrame([(4, "good"), (5, "low"), (None, "good"), (6, None)], "doc_id long, domain string")
     rated, _ = mixing.mix(odd, labels, {"good": 0.5, "low": 0.5})
