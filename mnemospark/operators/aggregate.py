@@ -121,3 +121,17 @@ def user_profile(facts: DataFrame, links: DataFrame, entities: DataFrame, moods:
     some = named.withColumn("__n", F.row_number().over(n)).where(F.col("__n") <= names).groupBy(key).agg(F.array_sort(F.collect_list("name")).alias("entities"))
     mood = top_pairs(moods, [key], ["intent", "emotion"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "intent", "emotion", "n"))).alias("moods"))
     return recent.join(some, key, "full").join(mood, key, "full")
+
+
+def extractions_of(extractions: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Structured extractions with the session of their episode."""
+    return extractions.join(episodes.select(F.col("id").alias("episode_id"), "session_id"), "episode_id")
+
+
+def extraction_counts(extractions: DataFrame) -> DataFrame:
+    return extractions.groupBy("session_id").agg(F.count(F.lit(1)).alias("extractions"), F.countDistinct("episode_id").alias("episodes"))
+
+
+def identity_counts(batch: DataFrame, identity: Column) -> DataFrame:
+    """Every row with the number of rows of its identity."""
+    return batch.withColumn("__k", identity).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("__k"))).drop("__k")

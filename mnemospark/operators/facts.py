@@ -204,21 +204,44 @@ def batch_hash(facts: DataFrame, keys: list[str]) -> DataFrame:
     return facts.groupBy(*keys).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(*TRIPLE)))), 256).alias("batch_hash"))
 
 
-def resolve_names(facts: DataFrame, entities: DataFrame, column: str, out: str) -> DataFrame:
+#: Names by which a speaker means itself.
+FIRST_PERSON = ["i", "me", "my", "mine", "myself", "user"]
+
+
+def _char_trigrams(c: Column) -> Column:
+    """Distinct substrings of three characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
+
+
+def resolve_names(facts: DataFrame, entities: DataFrame, column: str, out: str, scope: list[str] | None = None) -> DataFrame:
     """Entity of the name in ``column``: exact, contains, contained (3+ characters), normalised (2+).
 
-    ``entities`` (id, name, entity_type, position) is a project's short list; position
-    breaks ties. A first-person name takes the first Person.
+    ``entities`` has id, name, entity_type and position, which breaks ties; names meet
+    entities of the same ``scope`` only. A first-person name takes the first Person.
+
+    Every rule is an equi join: a name that contains another has the other's first three
+    characters among its own trigrams.
     """
-    e = entities.select(F.col("id").alias("__e"), F.lower(F.trim("name")).alias("__name"), F.col("entity_type").alias("__type"), F.col("position").alias("__at"))
-    name = F.lower(F.trim(F.col(column)))
-    me = name.isin("i", "me", "my", "mine", "myself", "user")
-    rank = (
-        F.when(me & (F.col("__type") == "Person"), 0).when(me, None).when(F.col("__name") == name, 1)
-        .when((F.length("__name") >= 3) & (F.length(name) >= 3) & name.contains(F.col("__name")), 2)
-        .when((F.length(name) >= 3) & F.col("__name").contains(name), 3)
-        .when((F.length(identity_term(name)) >= 2) & (identity_term(F.col("__name")) == identity_term(name)), 4)
-    )
-    names = facts.select(column).where(F.col(column).isNotNull()).distinct()
-    matched = names.join(e, rank.isNotNull()).groupBy(column).agg(F.min_by("__e", F.struct(rank.alias("r"), F.col("__at"))).alias(out))
-    return facts.join(matched, column, "left")
+    scope = scope or []
+    e = entities.select(*scope, F.col("id").alias("__e"), F.lower(F.trim("name")).alias("__name"), F.col("entity_type").alias("__type"), F.col("position").alias("__at"))
+    names = facts.select(*scope, column).where(F.col(column).isNotNull()).distinct().withColumn("__q", F.lower(F.trim(F.col(column))))
+    me = F.col("__q").isin(FIRST_PERSON)
+    other = names.where(~me)
+    long_name, long_entity = other.where(F.length("__q") >= 3), e.where(F.length("__name") >= 3)
+    head = lambda c: F.substring(c, 1, 3).alias("__g")
+    grams = lambda c: F.explode(_char_trigrams(F.col(c))).alias("__g")
+    persons = e.where("__type = 'Person'").withColumn("__k", F.lit(1))
+    first = persons.groupBy(*scope, "__k").agg(F.min(F.struct("__at", "__e")).alias("m")).select(*scope, "__k", F.col("m.__e").alias("__e"), F.col("m.__at").alias("__at"))
+    key = [*scope, "__g"]
+    parts = [
+        names.where(me).withColumn("__g", F.lit("me")).join(first.withColumn("__g", F.lit("me")), key).select(*scope, column, "__e", "__at", F.lit(0).alias("__r")),
+        other.withColumn("__g", F.col("__q")).join(e.withColumn("__g", F.col("__name")), key).select(*scope, column, "__e", "__at", F.lit(1).alias("__r")),
+        long_name.select("*", grams("__q")).join(long_entity.select("*", head("__name")), key).where(F.contains("__q", "__name")).select(*scope, column, "__e", "__at", F.lit(2).alias("__r")),
+        long_name.select("*", head("__q")).join(e.select("*", grams("__name")), key).where(F.contains("__name", "__q")).select(*scope, column, "__e", "__at", F.lit(3).alias("__r")),
+        other.withColumn("__g", identity_term(F.col("__q"))).where(F.length("__g") >= 2).join(e.withColumn("__g", identity_term(F.col("__name"))), key).select(*scope, column, "__e", "__at", F.lit(4).alias("__r")),
+    ]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    matched = found.groupBy(*scope, column).agg(F.min(F.struct("__r", "__at", "__e")).alias("m")).select(*scope, column, F.col("m.__e").alias(out))
+    return facts.join(matched, [*scope, column], "left")

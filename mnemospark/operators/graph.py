@@ -2,8 +2,8 @@
 
 Edges are (id, source_id, target_id, relationship_type, valid_from, valid_to, invalid_at).
 Traversals work level by level: a frontier joins the edges of both orientations on
-equality, and nodes seen before drop out, so paths never multiply. Levels are written to
-the checkpoint folder where the session has one.
+equality, and nodes seen before drop out, so paths never multiply. Levels and rounds are
+written to the folder that executors share, so no plan holds more than one.
 """
 
 from __future__ import annotations
@@ -12,16 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import effective_at
-from ..functions.text import capitalised_words, trigram_similarity, trigrams
-from .retrieval import search_entities, similar_pairs
+from ..functions.text import capitalised_words
+from ..sources.staging import staged
+from .paging import keyset_page
+from .retrieval import search_entities, similar_between, similar_pairs
 
 MAX_DEPTH = 5
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that executors share, if one is set."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getCheckpointDir() else df
+#: Entities of an episode from which on its pairs come from a join instead of a set.
+LARGE_EPISODE = 1000
 
 
 def live_edges(edges: DataFrame, as_of: Column | None = None, types: list[str] | None = None) -> DataFrame:
@@ -39,12 +39,12 @@ def both_ways(edges: DataFrame, direction: str = "both") -> DataFrame:
 
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 2, direction: str = "both") -> DataFrame:
     """(id, depth): the least depth of every node within ``depth`` of the ``seeds`` (id)."""
-    pairs = both_ways(edges, direction).where("a != b")
-    seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
+    pairs = staged(both_ways(edges, direction).where("a != b"), "pairs")
+    seen = staged(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "level")
     frontier = seen
     for level in range(1, min(depth, MAX_DEPTH) + 1):
         reached = frontier.select(F.col("id").alias("a")).join(pairs, "a").select(F.col("b").alias("id")).distinct()
-        frontier = cut(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(level)))
+        frontier = staged(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(level)), "level")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -84,11 +84,17 @@ def co_occurrence(links: DataFrame, least: int = 3) -> DataFrame:
     """(a, b, co_count): entity pairs a < b that share ``least`` or more episodes (episode_id, entity_id).
 
     Pairs come from one set of each episode, so the links are shuffled once and pair
-    counts are combined before their shuffle.
+    counts are combined before their shuffle. Episodes with more than LARGE_EPISODE
+    entities make no set: their pairs come from a join, which spills and can be split.
     """
-    sets = links.groupBy("episode_id").agg(F.array_sort(F.collect_set("entity_id")).alias("e")).where(F.size("e") > 1)
+    distinct = links.select("episode_id", "entity_id").distinct()
+    sizes = distinct.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n"))
+    large = distinct.join(sizes.where(F.col("n") > LARGE_EPISODE).select("episode_id"), "episode_id", "left_semi")
+    small = distinct.join(sizes.where((F.col("n") > 1) & (F.col("n") <= LARGE_EPISODE)).select("episode_id"), "episode_id", "left_semi")
+    sets = small.groupBy("episode_id").agg(F.array_sort(F.collect_list("entity_id")).alias("e"))
     pairs = sets.select(F.posexplode("e").alias("i", "a"), "e").select("a", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("co_count")).where(F.col("co_count") >= least)
+    joined = large.withColumnRenamed("entity_id", "a").join(large.withColumnRenamed("entity_id", "b"), "episode_id").where("a < b").select("a", "b")
+    return pairs.union(joined).groupBy("a", "b").agg(F.count(F.lit(1)).alias("co_count")).where(F.col("co_count") >= least)
 
 
 def linked_episodes(links: DataFrame) -> DataFrame:
@@ -109,11 +115,11 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> Da
     n = nodes.select("id").distinct()
     pairs = both_ways(edges).where("a != b").distinct()
     pairs = pairs.join(n.withColumnRenamed("id", "a"), "a", "left_semi").join(n.withColumnRenamed("id", "b"), "b", "left_semi")
-    around = pairs.select(F.col("a").alias("id"), F.col("b").alias("near")).union(n.select("id", F.col("id").alias("near")))
+    around = staged(pairs.select(F.col("a").alias("id"), F.col("b").alias("near")).union(n.select("id", F.col("id").alias("near"))), "around")
     labels = n.withColumn("label", F.col("id"))
     for _ in range(rounds):
         votes = around.join(labels.withColumnRenamed("id", "near"), "near").groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"))
-        labels = cut(votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select("id", F.col("m.label").alias("label")))
+        labels = staged(votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select("id", F.col("m.label").alias("label")), "labels")
     return labels
 
 
@@ -144,7 +150,7 @@ def duplicate_clusters(entities: DataFrame, threshold: float = 0.85) -> DataFram
     near = pairs.join(exact.select(F.col("head").alias("a"), F.col("k").alias("ka")), "a").join(exact.select(F.col("head").alias("b"), F.col("k").alias("kb")), "b")
     forward = near.select(F.when(F.col("ka") < F.col("kb"), F.col("a")).otherwise(F.col("b")).alias("first"), F.least("ka", "kb").alias("kf"), F.when(F.col("ka") < F.col("kb"), F.col("b")).otherwise(F.col("a")).alias("second"))
     state = exact.select(F.col("head").alias("id"), F.lit(None).cast("string").alias("of"), F.lit(False).alias("settled"))
-    forward = cut(forward)
+    forward = staged(forward, "forward")
     while True:
         # settled heads claim; a node with no unsettled or head predecessor becomes a head
         pred = forward.join(state.select(F.col("id").alias("first"), F.col("of").alias("fo"), F.col("settled").alias("fs")), "first")
@@ -152,7 +158,7 @@ def duplicate_clusters(entities: DataFrame, threshold: float = 0.85) -> DataFram
         joined = state.join(seen, state.id == F.col("second"), "left")
         ready = F.col("open").isNull() | (F.col("claim").isNotNull() & (F.col("claim.kf") < F.col("open")))
         of = F.when(F.col("settled"), F.col("of")).when(ready, F.col("claim.first").cast("string"))
-        state = cut(joined.select("id", of.alias("of"), (F.col("settled") | ready).alias("settled")))
+        state = staged(joined.select("id", of.alias("of"), (F.col("settled") | ready).alias("settled")), "state")
         if state.where(~F.col("settled")).isEmpty():
             break
     heads = exact.join(state.select(F.col("id").alias("head"), "of"), "head").select("k", F.coalesce(F.col("of"), F.col("head").cast("string")).alias("cluster"))
@@ -214,6 +220,15 @@ def reconcile(edges: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
     return expire(edges, orphans(edges, facts, now), now)
 
 
+def listing(edges: DataFrame, limit: int, last: list[object] | None = None) -> DataFrame:
+    """Active edges, newest first, a page at a time: the cursor is the (created_at, id) of the last row seen."""
+    return keyset_page(live_edges(edges), [("created_at", False), ("id", False)], limit, last)
+
+
+def all_active(edges: DataFrame) -> DataFrame:
+    return live_edges(edges).orderBy(F.desc("created_at"), "id")
+
+
 def session_entities(episodes: DataFrame, links: DataFrame, entities: DataFrame, memberships: DataFrame | None = None) -> DataFrame:
     """Distinct entities mentioned in each session, and the communities that they belong to."""
     mentioned = links.join(episodes.select(F.col("id").alias("episode_id"), "session_id"), "episode_id").select("session_id", F.col("entity_id").alias("id")).distinct()
@@ -239,12 +254,11 @@ def edges_of(edges: DataFrame, subjects: DataFrame, per_subject: int) -> DataFra
 def link_mentions(episodes: DataFrame, entities: DataFrame, threshold: float = 0.3, per_word: int = 5) -> DataFrame:
     """(episode_id, entity_id): capitalised words to their most similar entity names, five a word.
 
-    Distinct words meet the names through shared trigrams, an equi join.
+    Distinct words meet the names through their rarer trigrams, an equi join.
     """
     words = episodes.select(F.col("id").alias("episode_id"), F.explode(F.array_distinct(capitalised_words(F.col("content")))).alias("word")).where("word != ''")
-    w = words.select("word").distinct().select("word", F.explode(trigrams(F.col("word"))).alias("g"))
-    e = entities.select("id", "name", F.explode(trigrams(F.col("name"))).alias("g"))
-    pairs = w.join(e, "g").select("word", "id", "name").distinct().withColumn("s", trigram_similarity(F.col("word"), F.col("name"))).where(F.col("s") > threshold)
+    distinct = words.select("word").distinct()
+    pairs = similar_between(distinct.select(F.col("word").alias("id"), F.col("word").alias("name")), entities.select("id", "name"), threshold).select(F.col("a").alias("word"), F.col("b").alias("id"), F.col("similarity").alias("s"))
     best = pairs.withColumn("__n", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("s"), "id"))).where(F.col("__n") <= per_word)
     return words.join(best.select("word", F.col("id").alias("entity_id")), "word").select("episode_id", "entity_id").distinct()
 

@@ -96,6 +96,9 @@ def behaviour_patterns(facts: DataFrame, now: Column, least: int = 2, corrected:
     )
 
 
+# The wording of the three sentences.
+
+
 def describe_co_occurrence(a: Column, b: Column) -> Column:
     share = F.round(F.col("co_count") / F.col("total_episodes") * 100).cast("int")
     return F.format_string("'%s' appears alongside '%s' in %d out of %d episodes (%d%% co-occurrence rate).", a, b, F.col("co_count"), F.col("total_episodes"), share)

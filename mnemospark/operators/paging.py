@@ -66,3 +66,16 @@ def search_text(df: DataFrame, columns: list[str], query: str) -> DataFrame:
     for c in columns:
         hit = hit | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(query.lower())), F.lit(False))
     return df.where(hit)
+
+
+def created_between(df: DataFrame, column: str, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Rows of the half-open range [start, end); a missing bound is open."""
+    out = df if start is None else df.where(F.col(column) >= start)
+    return out if end is None else out.where(F.col(column) < end)
+
+
+def list_schemas(schemas: DataFrame, schema_type: object = None, active: bool | None = None) -> DataFrame:
+    """Extraction schemas, newest first, of a type and state where these are given."""
+    out = schemas if schema_type is None else schemas.where(F.col("type") == schema_type)
+    out = out if active is None else out.where(F.col("is_active") == active)
+    return out.orderBy(F.desc("created_at"), "id")

@@ -32,8 +32,9 @@ def vector_topk(df: DataFrame, query: list[float] | Column, k: int, vector: str
 def lexical_topk(df: DataFrame, query: str, k: int, text: str = "content", as_of: Column | None = None) -> DataFrame:
     """The k rows of highest BM25 that contain all terms of the query.
 
-    Statistics cover all rows, in the same scan as the term counts; only rows that match
-    reach the sort.
+    Texts are tokenised once, into a narrow table of lengths and term counts. Its exchange
+    serves both the statistics, over all rows, and the scores; of the rows themselves only
+    the k hits are read. ``id`` names a row.
     """
     spark = df.sparkSession
     terms = sorted(set(spark.range(1).select(tokens(F.lit(query))).first()[0]))
@@ -41,7 +42,8 @@ def lexical_topk(df: DataFrame, query: str, k: int, text: str = "content", as_of
     if not terms:
         return rows.withColumn("score", F.lit(0.0)).limit(0)
     t = F.col("__t")
-    counted = rows.withColumn("__t", tokens(F.col(text))).select("*", F.size(t).alias("__len"), *[F.size(F.filter(t, _equals(x))).alias(f"__f{i}") for i, x in enumerate(terms)])
+    counted = rows.select("id", tokens(F.col(text)).alias("__t")).select("id", F.size(t).alias("__len"), *[F.size(F.filter(t, _equals(x))).alias(f"__f{i}") for i, x in enumerate(terms)])
+    counted = counted.repartition("id")
     stats = counted.agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__len").alias("__avg"), *[F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(terms))])
     match = F.lit(True)
     score = F.lit(0.0)
@@ -51,7 +53,8 @@ def lexical_topk(df: DataFrame, query: str, k: int, text: str = "content", as_of
         idf = F.log(1 + (F.col("__n") - d + 0.5) / (d + 0.5))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__len") / F.col("__avg")))
     hits = counted.where(match).crossJoin(F.broadcast(stats))  # one row of statistics
-    return hits.withColumn("score", F.round(score, 9)).select(*rows.columns, "score").orderBy(F.desc("score"), "id").limit(k)
+    best = hits.select("id", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return rows.join(F.broadcast(best), "id").select(*rows.columns, "score").orderBy(F.desc("score"), "id").limit(k)
 
 
 def _equals(term: str) -> Callable[[Column], Column]:
@@ -117,6 +120,18 @@ def fuzzy_entities(entities: DataFrame, query: str, threshold: float = 0.3, limi
     return scored.where(F.col("similarity") > threshold).orderBy(F.desc("similarity"), "id").limit(limit)
 
 
+def _prefixes(grams: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, g): the rarest trigrams of each name, one of which it shares with every name above the threshold."""
+    rare = grams.join(frequency, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    size = F.size("gs")
+    return rare.select("id", size.alias("n"), F.explode(F.slice("gs", F.lit(1), size - F.ceil(size * threshold).cast("int") + 1)).alias("x")).select("id", "n", F.col("x.g").alias("g"))
+
+
+def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    named = pairs.join(left.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(right.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b")
+    return named.withColumn("similarity", F.round(trigram_similarity(F.col("na"), F.col("nb")), 6)).where(F.col("similarity") > threshold).select("a", "b", "similarity")
+
+
 def similar_pairs(names: DataFrame, threshold: float) -> DataFrame:
     """Pairs a < b of (id, name) with a trigram similarity above ``threshold``.
 
@@ -124,15 +139,22 @@ def similar_pairs(names: DataFrame, threshold: float) -> DataFrame:
     threshold share one of their rarest. Only those are join keys, so common trigrams
     make no pairs.
     """
-    grams = names.select("id", "name", F.explode(trigrams(F.col("name"))).alias("g"))
-    frequency = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    rare = grams.join(frequency, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    prefix = rare.select("id", F.size("gs").alias("n"), F.explode(F.slice("gs", F.lit(1), F.size("gs") - F.ceil(F.size("gs") * threshold).cast("int") + 1)).alias("x")).select("id", "n", F.col("x.g").alias("g"))
+    grams = names.select("id", F.explode(trigrams(F.col("name"))).alias("g"))
+    prefix = _prefixes(grams, grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")), threshold)
     a, b = prefix.alias("a"), prefix.alias("b")
     long = F.least(F.col("a.n"), F.col("b.n")) >= threshold * F.greatest(F.col("a.n"), F.col("b.n"))
     pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & long).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    named = pairs.join(names.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b")
-    return named.withColumn("similarity", F.round(trigram_similarity(F.col("na"), F.col("nb")), 6)).where(F.col("similarity") > threshold).select("a", "b", "similarity")
+    return _verified(pairs, names, names, threshold)
+
+
+def similar_between(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, similarity) of two tables (id, name) above ``threshold``, by the same filter."""
+    one, two = (df.select("id", F.explode(trigrams(F.col("name"))).alias("g")) for df in (left, right))
+    frequency = one.select("g").union(two.select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    a, b = _prefixes(one, frequency, threshold).alias("a"), _prefixes(two, frequency, threshold).alias("b")
+    long = F.least(F.col("a.n"), F.col("b.n")) >= threshold * F.greatest(F.col("a.n"), F.col("b.n"))
+    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & long).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    return _verified(pairs, left, right, threshold)
 
 
 def similar_to(episodes: DataFrame, episode_id: object, limit: int = 5) -> DataFrame:

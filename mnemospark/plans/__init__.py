@@ -1,6 +1,6 @@
 """Named queries over the adapter tables."""
 
-from . import retrieval, store, temporal
+from . import details, retrieval, store, temporal
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "retrieval", "store", "temporal"]
+__all__ = ["QUERIES", "SQL", "details", "retrieval", "store", "temporal"]

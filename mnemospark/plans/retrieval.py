@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..functions import pii
 from ..functions.text import STOP_WORDS, capitalised_words, identity_term, tokens
 from ..operators import facts, graph, ingest, observations, retrieval, upsert
 from ..sources import tables
+from ..sources.staging import new_path
 from ..streaming import jobs
 from .registry import query, text, ts
 from .temporal import EDGES, EPISODES, FACTS, LIVE, AS_OF
@@ -129,9 +128,9 @@ def t12_context_text(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.context_text(facts=rows.withColumn("position", F.col("rank")))
 
 
-@query("SELECT '{\"entities\":[' || string_agg('{\"id\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}', ',' ORDER BY n_nationkey) || ']}' AS json FROM nation WHERE n_nationkey < 5")
+@query("SELECT '{\"entities\":[' || string_agg('{\"id\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}', ',' ORDER BY n_nationkey) || ']}' AS json FROM nation")
 def t13_context_json(spark: SparkSession, d: str) -> DataFrame:
-    n = tables.read(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("position"))
+    n = tables.read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("position"))
     return retrieval.context_json(entities=n)
 
 
@@ -149,12 +148,12 @@ def g1_bfs(spark: SparkSession, d: str) -> DataFrame:
     return graph.bfs(graph.live_edges(_open(tables.relationships(spark, d))), seeds, 3)
 
 
-ASOF_EDGES = "open_edges AS (SELECT source_id AS a, target_id AS b FROM edges WHERE valid_from <= TIMESTAMP '1995-06-17 00:00:00' AND valid_to >= TIMESTAMP '1995-06-17 00:00:00' AND valid_to < valid_from + INTERVAL 20 DAYS)"
+ASOF_EDGES = "open_edges AS (SELECT source_id AS a, target_id AS b FROM edges WHERE valid_from <= TIMESTAMP '1995-06-17 00:00:00' AND valid_to >= TIMESTAMP '1995-06-17 00:00:00')"
 
 
 @query("SELECT id, min(depth) AS depth FROM walk GROUP BY id", (EDGES, ASOF_EDGES, BOTH.format("open_edges"), "walk AS (SELECT 's:1' AS id, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN pairs ON id = a WHERE depth < 2)"))
 def g2_bfs_asof(spark: SparkSession, d: str) -> DataFrame:
-    e = tables.temporal_edges(spark, d).where(F.col("valid_to") < F.col("valid_from") + F.expr("interval 20 days"))
+    e = tables.temporal_edges(spark, d)
     return graph.bfs(graph.live_edges(e, ts("1995-06-17 00:00:00")), spark.createDataFrame([("s:1",)], "id string"), 2)
 
 
@@ -217,9 +216,9 @@ def g13_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return done.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("invalid_at").isNotNull()).alias("expired"))
 
 
-@query("SELECT DISTINCT o_custkey AS session_id, l_suppkey AS id, s_name AS name FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_custkey < 20")
+@query("SELECT DISTINCT o_custkey AS session_id, l_suppkey AS id, s_name AS name FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey")
 def g15_session_entities(spark: SparkSession, d: str) -> DataFrame:
-    episodes = tables.read(spark, d, "orders").where("o_custkey < 20").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("session_id"))
+    episodes = tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("session_id"))
     s = tables.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("entity_type"))
     return graph.session_entities(episodes, tables.links(spark, d), s).select("session_id", "id", "name")
 
@@ -227,8 +226,8 @@ def g15_session_entities(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def g16_link_mentions(spark: SparkSession, d: str) -> DataFrame:
     e = tables.entities(spark, d)
-    n = e.where("entity_type in ('nation', 'region')").select(F.concat(F.lit("About "), F.initcap("name"), F.lit(".")).alias("content"), "id")
-    return graph.link_mentions(n, e.where("entity_type in ('nation', 'region')"))
+    n = e.select(F.concat(F.lit("About "), F.initcap("name"), F.lit(".")).alias("content"), "id")
+    return graph.link_mentions(n, e)
 
 
 @query()
@@ -320,18 +319,10 @@ def d2_idempotency(spark: SparkSession, d: str) -> DataFrame:
     return ingest.idempotency(batch, ledger, ts(AS_OF)).select("id", "verdict")
 
 
-def _folder(spark: SparkSession) -> str:
-    """Shared folder of the cluster, or an own one in a local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/stream-{abs(hash(tempfile.mktemp()))}"
-    return "file://" + tempfile.mkdtemp(prefix="stream-")
-
-
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def d1_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Micro-batches of a file stream, appended idempotently."""
-    folder = _folder(spark)
+    folder = new_path(spark, "stream")
     step = jobs.append_batches(f"{folder}/out", lambda b: b.select("event_id", "user_id", "event_type"))
     jobs.run_batches(jobs.event_stream(spark, d), step, f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -339,7 +330,7 @@ def d1_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def d8_stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark)
+    folder = new_path(spark, "stream")
     stream = jobs.deduplicate(jobs.event_stream(spark, d).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "60 days")
     jobs.run_available(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("user_id", "event_type")
@@ -355,8 +346,8 @@ def s8_entity_upsert(spark: SparkSession, d: str) -> DataFrame:
     return out.join(names, "name").select(F.col("shown").alias("name"), "type", "summary")
 
 
-@query("SELECT old_id, strftime(at_time, '%Y-%m-%d %H:%M:%S') AS at_time FROM (SELECT id AS old_id, valid_to AS at_time FROM facts WHERE subject = 3 AND valid_to IS NOT NULL AND id <= 200) WHERE old_id = 3 OR old_id % 2 = 1 ORDER BY at_time DESC, old_id LIMIT 20", (FACTS,))
+@query("SELECT old_id, strftime(at_time, '%Y-%m-%d %H:%M:%S') AS at_time FROM (SELECT id AS old_id, subject AS new_id, valid_to AS at_time FROM facts WHERE valid_to IS NOT NULL) WHERE old_id = 3 OR new_id = 3 ORDER BY at_time DESC, old_id LIMIT 20", (FACTS,))
 def l10_lineage(spark: SparkSession, d: str) -> DataFrame:
-    f = tables.facts(spark, d).where("subject = 3 and valid_to is not null and id <= 200")
-    events = f.select(F.col("id").alias("old_id"), F.when(F.col("id") % 2 == 1, 3).cast("long").alias("new_id"), F.col("valid_to").alias("at_time"))
+    f = tables.facts(spark, d).where("valid_to is not null")
+    events = f.select(F.col("id").alias("old_id"), F.col("subject").alias("new_id"), F.col("valid_to").alias("at_time"))
     return facts.lineage(events, 3, 20).select("old_id", text("at_time"))

@@ -35,9 +35,9 @@ def s4_all_entities(spark: SparkSession, d: str) -> DataFrame:
     return tables.entities(spark, d).orderBy("name", "id")
 
 
-@query("SELECT DISTINCT l_suppkey AS id, s_name AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey < 50")
+@query("SELECT DISTINCT l_suppkey AS id, s_name AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
 def s6_resolve_names(spark: SparkSession, d: str) -> DataFrame:
-    ids = tables.read(spark, d, "lineitem").where("l_orderkey < 50").select("l_suppkey")
+    ids = tables.read(spark, d, "lineitem").select("l_suppkey")
     s = tables.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     return tables.by_ids(s, ids)
 
@@ -99,10 +99,10 @@ def s34_remap(spark: SparkSession, d: str) -> DataFrame:
     return upsert.remap(tables.read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber"), s, "l_suppkey")
 
 
-@query("SELECT n_name AS external_id, s_suppkey IS NULL AS created FROM nation LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 10) ON n_nationkey = s_suppkey")
+@query("SELECT n_name AS external_id, s_suppkey IS NULL AS created FROM nation LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 2000) ON n_nationkey = s_suppkey")
 def s37_get_or_create(spark: SparkSession, d: str) -> DataFrame:
     n = tables.read(spark, d, "nation")
-    store = n.join(tables.read(spark, d, "supplier").where("s_suppkey < 10"), F.col("n_nationkey") == F.col("s_suppkey")).select(F.col("n_name").alias("external_id"), F.col("s_suppkey").alias("id"))
+    store = n.join(tables.read(spark, d, "supplier").where("s_acctbal > 2000"), F.col("n_nationkey") == F.col("s_suppkey")).select(F.col("n_name").alias("external_id"), F.col("s_suppkey").alias("id"))
     return upsert.get_or_create(store, n.select(F.col("n_name").alias("external_id"))).select("external_id", "created")
 
 
@@ -143,24 +143,24 @@ def p12_edges_at_time(spark: SparkSession, d: str) -> DataFrame:
     return e.where("source_id = 'c:7'").union(e.where("target_id = 's:7'")).select("id").distinct()
 
 
-@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'bolt') AND p_size IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 20)")
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'bolt') AND p_size IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 2000)")
 def p8_optional_any(spark: SparkSession, d: str) -> DataFrame:
     p = paging.search_text(tables.read(spark, d, "part"), ["p_name"], "bolt")
-    s = tables.read(spark, d, "supplier").where("s_suppkey < 20").select(F.col("s_suppkey").cast("int").alias("p_size"))
+    s = tables.read(spark, d, "supplier").where("s_acctbal > 2000").select(F.col("s_suppkey").cast("int").alias("p_size"))
     return p.join(s, "p_size", "left_semi").select("p_partkey")
 
 
-@query("SELECT a.id AS batch_id, b.id AS store_id FROM facts a JOIN facts b ON a.predicate = b.predicate AND a.subject = b.subject AND a.object = b.object WHERE a.id < 100 AND " + LIVE.replace("invalid_at", "b.invalid_at").replace("valid_from", "b.valid_from").replace("valid_to", "b.valid_to"), (FACTS,))
+@query("SELECT a.id AS batch_id, b.id AS store_id FROM facts a JOIN facts b ON a.predicate = b.predicate AND a.subject = b.subject AND a.object = b.object WHERE a.value >= 90 AND " + LIVE.replace("invalid_at", "b.invalid_at").replace("valid_from", "b.valid_from").replace("valid_to", "b.valid_to"), (FACTS,))
 def j13_conflict_candidates(spark: SparkSession, d: str) -> DataFrame:
     f = tables.facts(spark, d).withColumns({"subject": F.col("subject").cast("string"), "object": F.col("object").cast("string"), "subject_entity_id": F.lit(None).cast("string"), "object_entity_id": F.lit(None).cast("string")})
-    return facts.conflict_candidates(f.where("id < 100"), f, ts(AS_OF))
+    return facts.conflict_candidates(f.where("value >= 90"), f, ts(AS_OF))
 
 
-@query("SELECT l_orderkey AS id, list_sort(list((l_linenumber, CAST(l_partkey AS VARCHAR)))) IS NOT NULL AS has_blobs, count(*) AS n FROM lineitem WHERE l_orderkey < 300 GROUP BY 1")
+@query("SELECT l_orderkey AS id, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS blobs, count(*) AS n FROM lineitem GROUP BY 1")
 def j16_blobs_of_results(spark: SparkSession, d: str) -> DataFrame:
-    li = tables.read(spark, d, "lineitem").where("l_orderkey < 300")
+    li = tables.read(spark, d, "lineitem")
     blobs = li.select(F.col("l_orderkey").alias("episode_id"), F.col("l_linenumber").alias("blob_index"), F.col("l_partkey").cast("string").alias("content_hash"), F.lit("").alias("extracted_text"))
-    return retrieval.with_blobs(li.select(F.col("l_orderkey").alias("id")).distinct(), blobs).select("id", F.col("blobs").isNotNull().alias("has_blobs"), F.size("blobs").cast("long").alias("n"))
+    return retrieval.with_blobs(li.select(F.col("l_orderkey").alias("id")).distinct(), blobs).select("id", F.array_join(F.transform("blobs", lambda b: F.concat_ws(":", b["blob_index"], b["content_hash"])), ",").alias("blobs"), F.size("blobs").cast("long").alias("n"))
 
 
 @query("SELECT event_id AS episode_id, event_type, content FROM events JOIN episodes ON event_id = id", (EPISODES,))
@@ -245,14 +245,14 @@ def f5_hashes(spark: SparkSession, d: str) -> DataFrame:
     return tables.read(spark, d, "documents").select("doc_id", tx.content_hash("source", "doc_id").alias("h"), tx.cache_key(F.col("source")).alias("k"))
 
 
-@query("SELECT subject, sha256('[' || string_agg('{\"subject\":' || subject || ',\"predicate\":\"' || predicate || '\",\"object\":' || object || '}', ',' ORDER BY predicate, object) || ']') AS batch_hash FROM facts WHERE id < 300 GROUP BY subject", (FACTS,))
+@query("SELECT subject, sha256('[' || string_agg('{\"subject\":' || subject || ',\"predicate\":\"' || predicate || '\",\"object\":' || object || '}', ',' ORDER BY predicate, object) || ']') AS batch_hash FROM facts GROUP BY subject", (FACTS,))
 def f6_batch_hash(spark: SparkSession, d: str) -> DataFrame:
-    return facts.batch_hash(tables.facts(spark, d).where("id < 300").withColumn("organization_id", F.col("subject")), ["organization_id"]).withColumnRenamed("organization_id", "subject")
+    return facts.batch_hash(tables.facts(spark, d).withColumn("organization_id", F.col("subject")), ["organization_id"]).withColumnRenamed("organization_id", "subject")
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS parsed FROM events WHERE event_id < 500")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS parsed FROM events")
 def f8_parse_instant(spark: SparkSession, d: str) -> DataFrame:
-    e = tables.read(spark, d, "events").where("event_id < 500")
+    e = tables.read(spark, d, "events")
     iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
     return e.select("event_id", F.date_format(parse_instant(iso), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
@@ -314,9 +314,9 @@ def d11_orphan_blobs(spark: SparkSession, d: str) -> DataFrame:
     return ingest.orphan_blobs(b, e).distinct()
 
 
-@query("SELECT user_id, event_id FROM events WHERE event_type = 'click' AND event_id % 2 = 0")
+@query("SELECT user_id, event_id FROM events WHERE event_type = 'click'")
 def p17_subscriptions(spark: SparkSession, d: str) -> DataFrame:
-    e = tables.read(spark, d, "events").where("event_id % 2 = 0").withColumn("events", F.concat(F.lit('["'), F.col("event_type"), F.lit('"]')))
+    e = tables.read(spark, d, "events").withColumn("events", F.concat(F.lit('["'), F.col("event_type"), F.lit('"]')))
     return upsert.subscribed(e, "click").select("user_id", "event_id")
 
 

@@ -256,9 +256,9 @@ def p5_ilike(spark: SparkSession, d: str) -> DataFrame:
     return paging.search_text(tables.read(spark, d, "customer"), ["c_name", "c_mktsegment"], "99").select("c_custkey", "c_name")
 
 
-@query("SELECT id FROM facts WHERE source_episode_id IN (SELECT id // 1000 FROM episodes WHERE session_id < 10)", (FACTS, EPISODES))
+@query("SELECT id FROM facts WHERE source_episode_id IN (SELECT id // 1000 FROM episodes WHERE role = 'user')", (FACTS, EPISODES))
 def j3_semi(spark: SparkSession, d: str) -> DataFrame:
-    e = tables.episodes(spark, d).where("session_id < 10").select((F.col("id") / 1000).cast("long").alias("source_episode_id")).distinct()
+    e = tables.episodes(spark, d).where("role = 'user'").select((F.col("id") / 1000).cast("long").alias("source_episode_id")).distinct()
     return tables.facts(spark, d).join(e, "source_episode_id", "left_semi").select("id")
 
 
