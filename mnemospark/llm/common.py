@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+from ..sources.staging import BATCH, CLEANUP, new_path, shared_dir, staged, unstage
+
+__all__ = ["BATCH", "CLEANUP", "ascii_lower", "heavy_join", "if_small", "let", "new_path", "shared_dir", "staged", "table", "unstage", "words"]
+
 WHITESPACE = "\t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -34,58 +34,6 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(c, F.lit("")), WHITESPACE, " " * 5), " "), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
-
-    ``spark.checkpoint.dir`` names it. Only a local session without that setting gets
-    a folder of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="corpus-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no recomputation of what came before,
-    and the shuffle files of the written plan are removed at once. ``batch_rows`` bounds
-    the rows that a Python worker gets at a time.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    settings = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unstage(df: DataFrame) -> None:
-    """Delete what ``staged`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        if root.split(":", 1)[-1].lstrip("/") in path:
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def heavy_join(left: DataFrame, right: DataFrame, key: str, share: int = 256) -> DataFrame:
     """Left join of a staged table with one row of ``right`` for each key, safe from heavy keys.
 
