@@ -6,8 +6,8 @@
    non-negative least squares fits how often each is repeated, and the counts are
    rounded down. What is left over is packed best-fit decreasing, on the histogram.
 3. The plan says, for each length, which ranks go to which sequences and offsets. Pieces
-   get their ranks within a length by (length, salt) groups, so no length, however
-   common, meets in one task, and look up their places.
+   get their ranks within a length by (length, salt) groups, of which a length has as
+   many as its pieces need, so no length, however common, meets in one task.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed
 each; an empty table gives an empty result; a null doc_id stays null. Extra columns are
@@ -30,6 +30,7 @@ from .common import staged
 SIZE = 2048
 END = 0
 SALTS = 64
+RANKED = 100_000
 CACHE = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -234,26 +235,34 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> tuple[list[tuple[int, i
     return runs, sequences
 
 
+def salts_of(counts: dict[int, int], size: int) -> np.ndarray:
+    """Groups that each length is ranked in: SALTS or more, so that none exceeds RANKED pieces by much."""
+    out = np.ones(size + 1, dtype=np.int64)
+    for n, c in counts.items():
+        out[n] = max(1, min(c // 16, max(SALTS, -(-c // RANKED))))
+    return out
+
+
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """Add sequence_id and offset to staged ``pieces`` (any rows with a length of 1 to size)."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").count().collect()  # size * SALTS rows at most
+    histogram = dict(pieces.groupBy("length").count().collect())  # size rows at most
+    salts = salts_of(histogram, size)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(F.lit(salts), F.col("length").cast("int") + 1)).cast("int"))
+    counts = salted.groupBy("length", "salt").count().collect()  # a row for each group
+    first = np.concatenate(([0], np.cumsum(salts)))  # place of a length's groups in ``base``
+    base = np.zeros(first[-1], dtype=np.int64)
     before: dict[int, int] = {}
-    bases = []
     for r in sorted(counts, key=lambda r: (r["length"], r["salt"])):
-        bases.append((r["length"], r["salt"], before.get(r["length"], 0)))
+        base[first[r["length"]] + r["salt"]] = before.get(r["length"], 0)
         before[r["length"]] = before.get(r["length"], 0) + r["count"]
     runs, _ = plan(before, size)
     by_length: dict[int, list[tuple[int, int, int, int]]] = {}
-    for n, first, times, sequence, offset in runs:
-        by_length.setdefault(n, []).append((first, times, sequence, offset))
+    for n, start, times, sequence, offset in runs:
+        by_length.setdefault(n, []).append((start, times, sequence, offset))
     starts = {n: np.array([r[0] for r in sorted(rs)]) for n, rs in by_length.items()}
     places = {n: np.array(sorted(rs), dtype=np.int64) for n, rs in by_length.items()}
-    base = np.zeros((size + 1, SALTS), dtype=np.int64)
-    for n, s, b in bases:
-        base[n, s] = b
-    shared = spark.sparkContext.broadcast((starts, places, base))  # bounded by size and the patterns
+    shared = spark.sparkContext.broadcast((starts, places, first, base))  # bounded by size, the patterns and a number for each RANKED pieces
     return _ranked(salted).mapInArrow(_placer(shared, [c for c in pieces.columns]), pieces.selectExpr("*", "cast(0 as bigint) sequence_id", "cast(0 as bigint) offset").schema)
 
 
@@ -267,10 +276,10 @@ def _ranked(salted: DataFrame) -> DataFrame:
 
 def _placer(shared, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, places, base = shared.value
+        starts, places, first, base = shared.value
         for batch in batches:
             length, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "salt", "rank"))
-            rank = rank + base[length, salt]
+            rank = rank + base[first[length] + salt]
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for n in np.unique(length):
                 mine = np.flatnonzero(length == n)

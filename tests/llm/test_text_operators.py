@@ -584,6 +584,11 @@ def test_encoder_matches_tokenizer(text):
     assert e.core is not None and e.one(text) == e.slow(text)
 
 
+def test_salts_follow_the_count():
+    got = packing.salts_of({2048: 10**9, 7: 3, 100: 2000, 101: 10**6}, 2048)
+    assert got[2048] == 10**9 // packing.RANKED and got[7] == 1 and got[100] == packing.SALTS and got[101] == packing.SALTS and got.min() == 1
+
+
 def test_plan_covers_histogram():
     histogram = {2048: 5, 2000: 3, 1024: 7, 48: 9, 1: 40, 700: 300, 600: 11}
     runs, sequences = packing.plan(histogram)
