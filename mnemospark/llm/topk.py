@@ -1,7 +1,7 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-Codes are the sign bits of 64-dimensional vectors, cut into m segments of about log2 n
-bits for n distinct codes, so a segment value has about one code, whatever the table's
+Codes are the sign bits of 64-dimensional vectors, cut into m segments of about log2 n - 2
+bits for n distinct codes, so a segment value has a few codes, whatever the table's
 size. A step looks up, for each query, the index entries whose segment s differs in
 exactly r bits. After segments 0 to s at radius r, and all at r - 1, every code within
 m r + s bits has been seen: one farther in each would differ in m r + s + 1 bits or more.
@@ -45,7 +45,7 @@ def code(vector: Column) -> Column:
 
 def segments_for(codes: int) -> list[tuple[int, int]]:
     """(shift, width) of the segments for a number of distinct codes."""
-    m = round(BITS / min(MOST, max(LEAST, math.log2(max(2, codes)))))
+    m = round(BITS / min(MOST, max(LEAST, math.log2(max(2, codes)) - 2)))
     ends = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
