@@ -65,6 +65,28 @@ BINS = 400
 KINDS = {1: 6.63, 2: 9.21}
 
 
+def _running(values: Column, first: Column) -> Column:
+    """``first``, and the sums of it and the values before each other one."""
+    start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+
+def sums_before(values: Column) -> Column:
+    """The sum of the values before each value, by blocks: appending to an array copies it, so none gets long."""
+
+    def by_blocks(v: Column) -> Column:
+        size = F.greatest(F.lit(1), F.sqrt(F.size(v)).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda k: F.slice(v, k * size + 1, size))
+
+        def joined(b: Column) -> Column:
+            begin = _running(F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y)), F.lit(0))
+            return F.flatten(F.zip_with(b, begin, _running))
+
+        return let(blocks, joined)
+
+    return let(values, by_blocks)
+
+
 def _found(text: Column, pattern: str, group: int, least: int, kind: str, order: int) -> Column:
     """Spans of the leftmost non-overlapping matches, in code points.
 
@@ -76,16 +98,12 @@ def _found(text: Column, pattern: str, group: int, least: int, kind: str, order:
 
         def place(pieces: Column) -> Column:
             rows = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), F.arrays_zip(hits.alias("hit"), long_enough.alias("part")), lambda p, h: F.struct(F.length(p).alias("gap"), F.length(h["hit"]).alias("n"), F.length(h["part"]).alias("part"), h["hit"].alias("hit")))
-            none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,hit:string,keep:boolean>>")
-            walked = F.aggregate(
-                rows,
-                F.struct(F.lit(0).alias("at"), none.alias("out")),
-                lambda acc, r: F.struct(
-                    (acc["at"] + r["gap"] + r["n"]).alias("at"),
-                    F.concat(acc["out"], F.array(F.struct((acc["at"] + r["gap"]).alias("start"), F.lit(order).alias("ord"), (acc["at"] + r["gap"] + r["n"]).alias("end"), F.lit(kind).alias("kind"), r["hit"].alias("hit"), (r["part"] >= least).alias("keep")))).alias("out"),
-                ),
-            )
-            return F.filter(walked["out"], lambda s: s["keep"])
+
+            def spans_of(rows: Column) -> Column:
+                begin = sums_before(F.transform(rows, lambda r: r["gap"] + r["n"]))
+                return F.zip_with(rows, begin, lambda r, at: F.struct((at + r["gap"]).alias("start"), F.lit(order).alias("ord"), (at + r["gap"] + r["n"]).alias("end"), F.lit(kind).alias("kind"), r["hit"].alias("hit"), (r["part"] >= least).alias("keep")))
+
+            return F.filter(let(rows, spans_of), lambda s: s["keep"])
 
         nothing = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,hit:string,keep:boolean>>")
         return F.when(F.size(hits) > 0, let(F.split(text, pattern, -1), place)).otherwise(nothing)

@@ -232,6 +232,14 @@ def test_secret_null_of_text():
             assert (p <= level).mean() <= 1.6 * level + 0.004, (n, level)
 
 
+def test_secret_many_hits(spark):
+    """A long text with very many matches, and a base of short ones."""
+    text = " ".join(f"{i:016x}" for i in range(40_000))
+    got = secret_rows(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"))
+    by = {r["doc_id"]: r["base_spans"] for r in got}
+    assert [(s["start"], s["end"]) for s in by[1]] == [(17 * i, 17 * i + 16) for i in range(40_000)] and by[2] == by[3] == []
+
+
 def test_secret_edges(none):
     assert secret_rows(none) == []
 
