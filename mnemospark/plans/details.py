@@ -11,6 +11,7 @@ from ..functions.temporal import effective_at
 from ..operators import aggregate, effects, facts, graph, ingest, observations, paging, retrieval, upsert
 from ..operators.store import GraphStore
 from ..sources import tables
+from ..streaming import jobs
 from .registry import query, text, ts
 from .retrieval import BM25, GAPS, LEXICAL, TOKENS
 from .store import ENTITIES
@@ -611,6 +612,20 @@ def d3_progress_bits(spark: SparkSession, d: str) -> DataFrame:
     return upsert.set_bits(e, e.where("role = 'user'").select("id", F.lit(64).alias("bit"))).select("id", "enrichment_status")
 
 
+@query("SELECT user_id, strftime(date_trunc('hour', ts) - to_hours(k), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL")
+def d5_sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The streaming operator on a table: events of a user in windows of two hours, one each hour."""
+    e = tables.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.sliding_counts(e, "user_id", "ts", "2 hours", "1 hour", "1 hour").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS attempts FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 3 HOURS THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
+def d6_attempt_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Attempts of a user in sessions that end three hours after the last."""
+    e = tables.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.attempt_counters(e, "user_id", "ts", "3 hours", "1 hour").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "attempts")
+
+
 @query("SELECT project_id AS organization_id, 'webhook' AS effect, CASE WHEN role = 'user' THEN 'message.added' ELSE 'fact.superseded' END AS event_type, CAST(id AS VARCHAR) AS id FROM episodes UNION ALL SELECT DISTINCT project_id, 'purge', NULL, 'context:*' FROM episodes WHERE role <> 'user'", (EPISODES,))
 def d12_effects(spark: SparkSession, d: str) -> DataFrame:
     user = F.col("role") == "user"
