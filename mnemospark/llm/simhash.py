@@ -11,7 +11,8 @@ distinct fingerprint the table holds the distances to all pivots.
 * Candidates: a pair within 2 bits leaves at least two segments untouched, hence all
   relative distances of two families equal. Those vectors of distances are join keys.
 * Discard: distances to one pivot differ by no more than the fingerprints do, so a pair
-  whose largest coordinate difference exceeds the radius goes without verification.
+  whose largest coordinate difference, read from the table, exceeds the radius goes
+  without verification.
 * Verify: the Hamming distance of the rest.
 
 A key shared by more than ``dense`` fingerprints would need all pairs of its group.
@@ -113,18 +114,20 @@ def links(fps: DataFrame, radius: int = 2, dense: int = 64) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose closure equals that of all links."""
     if not 0 <= radius <= 2:
         raise ValueError("two segments stay untouched for a radius of 2 at most")
-    table = pivot_table(fps)
+    table = staged(pivot_table(fps), "pivots")
     keys = [F.xxhash64(F.lit(s * SEGMENTS + t), _relative(s), _relative(t)) for s in range(SEGMENTS) for t in range(s + 1, SEGMENTS)]
     keyed = table.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
     by_key = staged(keyed.join(sizes, "key"), "keyed")
     few = by_key.where(F.col("n") <= dense)
     left, right = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
-    pairs = left.join(right, "key").where("a < b").select("a", "b")
-    coordinates = [(distance(F.col("a"), F.lit(signed(p))) - distance(F.col("b"), F.lit(signed(p)))) for family in pivots() for p in family[1:]]
-    near = pairs.where(F.greatest(*[F.abs(c) for c in coordinates]) <= radius).where(distance(F.col("a"), F.col("b")) <= radius)
+    pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
+    coordinates = table.select("fp", F.concat(*[f"d{s}" for s in range(SEGMENTS)]).alias("at"))
+    placed = pairs.join(coordinates.toDF("a", "x"), "a").join(coordinates.toDF("b", "y"), "b")
+    apart = F.array_max(F.zip_with("x", "y", lambda x, y: F.abs(x.cast("int") - y.cast("int"))))
+    near = placed.where(apart <= radius).where(distance(F.col("a"), F.col("b")) <= radius).select("a", "b")
     crowd = by_key.where(F.col("n") > dense).select("fp").distinct()
-    return near.distinct().union(_balls(crowd, radius))
+    return near.union(_balls(crowd, radius))
 
 
 def _balls(fps: DataFrame, radius: int) -> DataFrame:

@@ -329,7 +329,7 @@ def test_line_dedup_recall(docs):
             where[g].add(k)
     linked = set()
     for k, s in enumerate(sets):
-        near = Counter(j for g in s if len(where[g]) < 400 for j in where[g] if j > k)
+        near = Counter(j for g in s for j in where[g] if j > k)
         linked |= {(k, j) for j, _ in near.items() if len(s & sets[j]) >= 0.8 * len(s | sets[j])}
     root = classes(range(len(distinct)), linked)
     groups = defaultdict(list)
