@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,5 +124,10 @@ class GraphStore:
         return self.observations if kind is None else self.observations.where(F.col("observation_type") == kind)
 
     def healthy(self) -> bool:
-        """Whether the tables can be read; looks at one row at most."""
-        return len(self.entities.limit(1).collect()) + len(self.edges.limit(1).collect()) >= 0
+        """Whether the tables can be read; looks at one row of each at most."""
+        try:
+            for df in (self.entities, self.edges):
+                df.limit(1).collect()
+        except PySparkException:
+            return False
+        return True

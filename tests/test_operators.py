@@ -321,3 +321,63 @@ def test_event_stream_of_part_files(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(90).repartition(3).write.parquet(f"{tmp_path}/t/events.parquet")
     jobs.run_available(jobs.event_stream(spark, f"{tmp_path}/t"), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 90
+
+
+# the graph as one object
+
+
+def test_graph_store(spark):
+    from mnemospark.operators.store import GraphStore
+
+    t = "timestamp_ntz"
+    entities = spark.createDataFrame([(1, 1, i, n, "Custom", "") for i, n in ((1, "ann"), (2, "bob"), (3, "carl"))], "organization_id int, project_id int, id int, name string, entity_type string, summary string")
+    edges = spark.createDataFrame([(10, 1, 2, "knows", 0.5, 1), (11, 2, 3, "knows", 0.5, 2), (12, 3, 3, "is", 0.5, 3)], "id int, source_id int, target_id int, relationship_type string, confidence double, created_at int")
+    edges = edges.withColumns({c: F.lit(None).cast(t) for c in ("valid_from", "valid_to", "invalid_at")})
+    links = spark.createDataFrame([(100, 1), (100, 2)], "episode_id int, entity_id int")
+    episodes = spark.createDataFrame([(100, 7, 5)], "id int, session_id int, created_at int")
+    store = GraphStore(entities, edges, links, episodes)
+    seeds = spark.createDataFrame([(1,)], "id int")
+    assert store.healthy() and not GraphStore(entities, spark.range(1).selectExpr("raise_error('x') AS id")).healthy()
+    assert {r["id"]: r["depth"] for r in store.traverse(seeds, 2).collect()} == {1: 0, 2: 1, 3: 2}
+    assert [r["id"] for r in store.list_edges(2).collect()] == [11, 10]
+    assert [r["id"] for r in store.list_edges(2, last=[2, 11]).collect()] == [10]
+    gone = store.expire_edge(11, F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    assert {r["id"] for r in gone.all_edges().collect()} == {10, 12} and store.all_edges().count() == 3
+    assert {r["id"] for r in store.delete_entity(2).all_edges().collect()} == {12}
+    assert {r["id"] for r in store.session_entities(7).collect()} == {1, 2}
+    linked = store.link(spark.createDataFrame([(100, 1), (100, 3)], "episode_id int, entity_id int"))
+    assert linked.links.count() == 3 and linked.linked_episodes().first()[0] == 1
+    merged = store.merge(spark.createDataFrame([(3, 2)], "merged_id int, canonical_id int"))
+    assert {r["id"] for r in merged.list_entities().collect()} == {1, 2}
+    batch = spark.createDataFrame([(1, 1, 4, "Dora ", "Person", "new", 1)], "organization_id int, project_id int, id int, name string, entity_type string, summary string, at int")
+    assert [r["name"] for r in store.create_entities(batch).list_entities(["Person"]).collect()] == ["dora"]
+
+
+def test_effects_and_status(spark):
+    from mnemospark.operators import effects
+
+    changes = spark.createDataFrame([(1, "fact", "retracted", 5), (1, "fact", "looked at", 6), (2, "user", "created", 7)], "organization_id int, what string, happened string, id int")
+    got = {(r["organization_id"], r["effect"], r["event_type"], r["id"]) for r in effects.effects(changes).collect()}
+    assert got == {(1, "webhook", "fact.retracted", "5"), (1, "purge", None, "context:*"), (2, "webhook", "user.created", "7")}
+    rows = [(1, "ok"), (1, "ok"), (2, "ok"), (2, "failed"), (3, "failed"), (4, "skipped")]
+    status = effects.job_status(spark.createDataFrame(rows, "org int, outcome string"), ["org"])
+    assert {r["org"]: r["status"] for r in status.collect()} == {1: "completed", 2: "partial", 3: "error", 4: "skipped"}
+
+
+def test_resolve_names_by_scope(spark):
+    from mnemospark.operators import facts
+
+    entities = spark.createDataFrame([(1, 10, "New York City", "Place", 0), (1, 11, "York", "Place", 1), (1, 12, "Sam", "Person", 2), (2, 20, "York", "Place", 0)], "project_id int, id int, name string, entity_type string, position int")
+    asked = [(1, "york"), (1, "in york today"), (1, "new york"), (1, "N.E.W york city"), (1, "me"), (2, "york"), (2, "me"), (1, "yo"), (1, None)]
+    out = facts.resolve_names(spark.createDataFrame(asked, "project_id int, subject string"), entities, "subject", "e", ["project_id"])
+    got = {(r["project_id"], r["subject"]): r["e"] for r in out.collect()}
+    assert got == {(1, "york"): 11, (1, "in york today"): 11, (1, "new york"): 11, (1, "N.E.W york city"): 11, (1, "me"): 12, (2, "york"): 20, (2, "me"): None, (1, "yo"): None, (1, None): None}
+
+
+def test_large_episode_pairs(spark, monkeypatch):
+    from mnemospark.operators import graph
+
+    monkeypatch.setattr(graph, "LARGE_EPISODE", 3)
+    links = spark.createDataFrame([(e, x) for e in (1, 2) for x in range(5)] + [(3, 0), (3, 1), (3, 1)], "episode_id int, entity_id int")
+    got = {(r["a"], r["b"]): r["co_count"] for r in graph.co_occurrence(links, 2).collect()}
+    assert got == {(a, b): 2 + (a == 0 and b == 1) for a in range(5) for b in range(a + 1, 5)}
