@@ -116,29 +116,29 @@ def solve(rows: DataFrame, targets: dict[str, float], domains: tuple[str, ...],
     """Residual history and reached totals for staged ``rows`` (tokens, posterior).
 
     ``targets`` are shares of the mixed tokens, which are as many as there are, or, with an
-    ``anchor``, so many that this domain keeps ``SPARE`` times its own tokens at least. The Gram matrix of the posteriors, weighted by
-    tokens, bounds the step length. After ``patience`` steps that come no nearer than the
-    best before them, the best stands.
+    ``anchor``, so many that this domain keeps ``SPARE`` times its own tokens at least.
+    The Gram matrix of the posteriors, weighted by the tokens of documents whose rate is
+    at no bound, sets direction and length of a step. After ``patience`` steps that come
+    no nearer than the best before them, the best stands.
     """
     k = len(domains)
     p = [F.element_at("posterior", d + 1) for d in range(k)]
-    first = rows.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * p[a] * p[b]) for a in range(k) for b in range(k)]).first()
-    total = float(first[0] or 0)
+    total = float(rows.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
         return [], np.zeros(k)
-    gram = np.array([float(x or 0) for x in first[1:]]).reshape(k, k) / total
     want = np.array([targets.get(d, 0.0) for d in domains])
     want = want / want.sum() if want.sum() else want
     if anchor in domains and want[domains.index(anchor)]:
         own = float(rows.agg(F.sum(F.col("tokens") * p[domains.index(anchor)])).first()[0] or 0) / total
         want = want * max(1.0, SPARE * own / want[domains.index(anchor)])
-    # the step is a gradient step in the metric of the Gram matrix, kept well defined by a small ridge
-    metric = np.linalg.inv(gram + 1e-6 * np.trace(gram) * np.eye(k))
     history: list[np.ndarray] = []
     best, least, kept = np.zeros(k), np.inf, 0
+    tokens, posterior, r = F.col("tokens"), [F.element_at("posterior", d + 1) for d in range(k)], F.col("__rate")
+    free = F.when((r > 0) & (r < ceiling), tokens).otherwise(F.lit(0))
     while True:
-        got = rows.agg(*[F.sum(F.col("tokens") * p[d] * rate(history, ceiling)) for d in range(k)]).first()
-        reached = np.array([float(x or 0) for x in got]) / total
+        rated = rows.select("tokens", "posterior", rate(history, ceiling).alias("__rate"))
+        sums = rated.agg(*[F.sum(tokens * posterior[d] * r) for d in range(k)], *[F.sum(free * posterior[a] * posterior[b]) for a in range(k) for b in range(k)]).first()
+        reached = np.array([float(x or 0) for x in sums[:k]]) / total
         residual = reached - want
         far = np.abs(residual).max()
         if far < 0.99 * least:
@@ -148,6 +148,9 @@ def solve(rows: DataFrame, targets: dict[str, float], domains: tuple[str, ...],
         if len(history) - kept >= patience:
             warnings.warn(f"the targets cannot be reached: wanted {want.tolist()} of the tokens, reached {best.tolist()}", stacklevel=2)
             break
+        # a projected gradient step, in the metric of the rates that are free to move; a small ridge keeps it well defined
+        gram = np.array([float(x or 0) for x in sums[k:]]).reshape(k, k) / total
+        metric = np.linalg.inv(gram + 1e-6 * max(np.trace(gram), 1e-9) * np.eye(k))
         history.append(metric @ residual)
     return history[:kept], best
 

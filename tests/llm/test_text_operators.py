@@ -513,13 +513,13 @@ def test_mixing_matches_slow_version(spark, docs):
         assert got[r["doc_id"]]["tokens"] == len(b) and max(abs(x - y) for x, y in zip(got[r["doc_id"]]["posterior"], post[-1], strict=True)) < 1e-9
     t, p = np.array(tokens, float), np.array(post)
     want = np.array([0.7, 0.3])
-    gram = (p * t[:, None]).T @ p / t.sum()
-    metric = np.linalg.inv(gram + 1e-6 * np.trace(gram) * np.eye(2))
     rate = np.ones(len(t))
     for _ in range(1000):
         residual = (p * (t * rate)[:, None]).sum(0) / t.sum() - want
         if np.abs(residual).max() <= 1e-3:
             break
+        gram = (p * (t * (rate > 0))[:, None]).T @ p / t.sum()
+        metric = np.linalg.inv(gram + 1e-6 * np.trace(gram) * np.eye(2))
         rate = np.maximum(0, rate - p @ (metric @ residual))
     rate[t == 0] = 1
     assert max(abs(got[r["doc_id"]]["rate"] - x) for r, x in zip(rows, rate, strict=True)) < 1e-4
