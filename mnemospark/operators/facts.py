@@ -208,9 +208,10 @@ def batch_hash(facts: DataFrame, keys: list[str]) -> DataFrame:
 FIRST_PERSON = ["i", "me", "my", "mine", "myself", "user"]
 
 
-def _char_trigrams(c: Column) -> Column:
-    """Distinct substrings of three characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
+def _substrings(c: Column, lengths: Column) -> Column:
+    """Distinct substrings of the given lengths."""
+    fit = F.filter(lengths, lambda n: n <= F.length(c))
+    return F.array_distinct(F.flatten(F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))))
 
 
 def resolve_names(facts: DataFrame, entities: DataFrame, column: str, out: str, scope: list[str] | None = None) -> DataFrame:
@@ -219,29 +220,32 @@ def resolve_names(facts: DataFrame, entities: DataFrame, column: str, out: str,
     ``entities`` has id, name, entity_type and position, which breaks ties; names meet
     entities of the same ``scope`` only. A first-person name takes the first Person.
 
-    Every rule is an equi join: a name that contains another has the other's first three
-    characters among its own trigrams.
+    Every rule is an equi join: a name that contains another has it among its own
+    substrings of that length, and only lengths that occur are cut. Of the entities that
+    share a key the first goes on, so a key has one row however many names share it.
     """
     scope = scope or []
     e = entities.select(*scope, F.col("id").alias("__e"), F.lower(F.trim("name")).alias("__name"), F.col("entity_type").alias("__type"), F.col("position").alias("__at"))
     names = facts.select(*scope, column).where(F.col(column).isNotNull()).distinct().withColumn("__q", F.lower(F.trim(F.col(column))))
     me = F.col("__q").isin(FIRST_PERSON)
     other = names.where(~me)
-    long_name, long_entity = other.where(F.length("__q") >= 3), e.where(F.length("__name") >= 3)
-    head = lambda c: F.substring(c, 1, 3).alias("__g")
-    grams = lambda c: F.explode(_char_trigrams(F.col(c))).alias("__g")
-    persons = e.where("__type = 'Person'").withColumn("__k", F.lit(1))
-    first = persons.groupBy(*scope, "__k").agg(F.min(F.struct("__at", "__e")).alias("m")).select(*scope, "__k", F.col("m.__e").alias("__e"), F.col("m.__at").alias("__at"))
+    asked = other.where(F.length("__q") >= 3)
     key = [*scope, "__g"]
+    first = F.min(F.struct("__at", "__e")).alias("__m")
+    named = e.groupBy(*scope, "__name").agg(first)  # the first entity of each name
+    lengths = lambda df, c: F.broadcast(df.agg(F.collect_set(F.length(c)).alias("__lengths")))
+    cut = lambda df, c, by: df.crossJoin(by).select("*", F.explode(_substrings(F.col(c), F.col("__lengths"))).alias("__g"))
+    long_named = named.where(F.length("__name") >= 3)
     parts = [
-        names.where(me).withColumn("__g", F.lit("me")).join(first.withColumn("__g", F.lit("me")), key).select(*scope, column, "__e", "__at", F.lit(0).alias("__r")),
-        other.withColumn("__g", F.col("__q")).join(e.withColumn("__g", F.col("__name")), key).select(*scope, column, "__e", "__at", F.lit(1).alias("__r")),
-        long_name.select("*", grams("__q")).join(long_entity.select("*", head("__name")), key).where(F.contains("__q", "__name")).select(*scope, column, "__e", "__at", F.lit(2).alias("__r")),
-        long_name.select("*", head("__q")).join(e.select("*", grams("__name")), key).where(F.contains("__name", "__q")).select(*scope, column, "__e", "__at", F.lit(3).alias("__r")),
-        other.withColumn("__g", identity_term(F.col("__q"))).where(F.length("__g") >= 2).join(e.withColumn("__g", identity_term(F.col("__name"))), key).select(*scope, column, "__e", "__at", F.lit(4).alias("__r")),
+        names.where(me).withColumn("__g", F.lit("me")).join(e.where("__type = 'Person'").groupBy(*scope).agg(first).withColumn("__g", F.lit("me")), key).withColumn("__r", F.lit(0)),
+        other.withColumn("__g", F.col("__q")).join(named.withColumnRenamed("__name", "__g"), key).withColumn("__r", F.lit(1)),
+        cut(asked, "__q", lengths(long_named, "__name")).join(long_named.withColumnRenamed("__name", "__g"), key).withColumn("__r", F.lit(2)),
+        asked.withColumn("__g", F.col("__q")).join(cut(named, "__name", lengths(asked, "__q")).groupBy(*key).agg(F.min("__m").alias("__m")), key).withColumn("__r", F.lit(3)),
+        other.withColumn("__g", identity_term(F.col("__q"))).where(F.length("__g") >= 2).join(named.withColumn("__g", identity_term(F.col("__name"))).groupBy(*key).agg(F.min("__m").alias("__m")), key).withColumn("__r", F.lit(4)),
     ]
+    parts = [p.select(*scope, column, "__r", "__m") for p in parts]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    matched = found.groupBy(*scope, column).agg(F.min(F.struct("__r", "__at", "__e")).alias("m")).select(*scope, column, F.col("m.__e").alias(out))
+    matched = found.groupBy(*scope, column).agg(F.min(F.struct("__r", "__m")).alias("m")).select(*scope, column, F.col("m.__m.__e").alias(out))
     return facts.join(matched, [*scope, column], "left")

@@ -381,3 +381,27 @@ def test_large_episode_pairs(spark, monkeypatch):
     links = spark.createDataFrame([(e, x) for e in (1, 2) for x in range(5)] + [(3, 0), (3, 1), (3, 1)], "episode_id int, entity_id int")
     got = {(r["a"], r["b"]): r["co_count"] for r in graph.co_occurrence(links, 2).collect()}
     assert got == {(a, b): 2 + (a == 0 and b == 1) for a in range(5) for b in range(a + 1, 5)}
+
+
+def test_resolve_names_without_pairs(spark):
+    from mnemospark.operators import facts
+
+    names = ["Account 1", "account 12", "ACCOUNT 12", "a.b", "ab", "abc", "é12", "x"]
+    entities = spark.createDataFrame([(10 + i, n, "Thing", -i) for i, n in enumerate(names)], "id int, name string, entity_type string, position int")
+    asked = ["my account 123", "account 1", "acc", "a-b", "AB", "é1", "é12!", "xyabcz", "count 1", None, "nothing"]
+    out = facts.resolve_names(spark.createDataFrame([(q,) for q in asked], "subject string"), entities, "subject", "e")
+    # contained names are met by their substrings, not by comparing all pairs that share a beginning
+    assert "contains" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+    def plain(s):
+        return "".join(c for c in s if c in "abcdefghijklmnopqrstuvwxyz0123456789 ").strip()
+
+    def best(q):
+        q, hits = q.lower().strip(), []
+        for i, n in enumerate(names):
+            n = n.lower()
+            rank = 1 if n == q else 2 if len(n) >= 3 and len(q) >= 3 and n in q else 3 if len(q) >= 3 and q in n else 4 if len(plain(q)) >= 2 and plain(n) == plain(q) else 0
+            hits += [(rank, -i, 10 + i)] * (rank > 0)
+        return min(hits)[2] if hits else None
+
+    assert {r["subject"]: r["e"] for r in out.collect()} == {q: q and best(q) for q in asked}
