@@ -405,3 +405,29 @@ def test_resolve_names_without_pairs(spark):
         return min(hits)[2] if hits else None
 
     assert {r["subject"]: r["e"] for r in out.collect()} == {q: q and best(q) for q in asked}
+
+
+def test_most_similar_matches_all_pairs(spark):
+    from collections import Counter
+    from random import Random
+
+    from pyspark.sql import functions as F
+
+    from mnemospark.functions.text import trigram_similarity
+    from mnemospark.operators import retrieval
+
+    rng = Random(5)
+    names = [f"Customer#{i:09d}" for i in [*range(150), *range(5000, 5040)]] + [f"NATION_{i}" for i in range(12)] + ["Customer#000000003"] * 7 + ["", "Acme Works", "Acme Work", "acme", "___"]
+    names += ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 60))) for _ in range(120)]
+    right = spark.createDataFrame([(f"e{i}", n) for i, n in enumerate(names)], "id string, name string")
+    left = spark.createDataFrame([(w,) for w in sorted({*names, "About", "Customer", "Customer#00000500"} - {""})], "word string")
+    every = left.crossJoin(right).withColumn("s", F.round(trigram_similarity(F.col("word"), F.col("name")), 6))
+    want = {}
+    for r in every.where("s > 0.3").collect():
+        want.setdefault(r["word"], []).append((-r["s"], r["id"]))
+    want = {(w, i) for w, hits in want.items() for _, i in sorted(hits)[:5]}
+    got = [tuple(r) for r in retrieval.most_similar(left, right, 0.3, 5).select("word", "id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # names that are alike in all but their numbers make few candidates
+    counts = Counter(r["set_id"] for r in retrieval._near_sets(*[spark.createDataFrame([(i, 18, f"Customer#{i:09d}") for i in range(12345, 12745)], "set_id long, n int, name string")] * 2).select(F.col("a").alias("set_id")).collect())
+    assert max(counts.values()) < 40
