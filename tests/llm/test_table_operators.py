@@ -280,3 +280,18 @@ def test_url_edges(spark):
 @pytest.mark.parametrize("radius", [0, 1, 3])
 def test_masks(radius):
     assert len({m for m in topk.masks(radius)}) == len(topk.masks(radius)) and all(m.bit_count() == radius for m in topk.masks(radius))
+
+
+def test_components_on_either_side(spark, monkeypatch):
+    """Few edges are joined on the driver, with the roots of the distributed rounds."""
+    from mnemospark.llm import components as module
+
+    edges = [(i, i + 1) for i in range(-40, 40)] + [(1000 - i, 1000) for i in range(30)] + [(7, 7), (None, 3), (2**62, -(2**62)), (500, 501), (501, 500)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few = {r["node"]: r["root"] for r in module.components(df).collect()}
+    calls = []
+    monkeypatch.setattr(module, "_star", lambda e: calls.append(e))
+    assert {r["node"]: r["root"] for r in module.components(df).collect()} == few and not calls
+    monkeypatch.undo()
+    monkeypatch.setattr(module, "FEW", 3)
+    assert {r["node"]: r["root"] for r in module.components(df).collect()} == few
