@@ -358,6 +358,31 @@ def test_line_dedup_dense_band(spark):
     assert gone == set(range(1, 120))
 
 
+@pytest.mark.parametrize("block", [1024, 4])
+def test_line_dedup_all_pairs_of_a_dense_band(spark, monkeypatch, block):
+    import random
+
+    rng = random.Random(7)
+    texts = []
+    for _ in range(24):  # families in one band, of which at most two have a hub
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.choice([9, 40, 150, 900]))]
+        for changes in (0, 1, 1, 2):
+            line = base[:]
+            for _ in range(changes):
+                line[rng.randrange(len(line))] = "#"
+            texts.append("x" + "".join(line) + "y" * rng.choice([0, 0, 1, 3]))
+    texts += ["z" * 8, "z" * 40, "z" * 2000]
+    texts = sorted({" ".join(x.split()) for x in texts})
+    sets = [slow_shingles(x) for x in texts]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {i for i, root in classes(range(len(texts)), linked).items() if root != i}
+    monkeypatch.setattr(line_dedup, "sketches", lambda lines: line_dedup.distinct_lines(lines).select("line_id", F.array(F.lit(5).cast("long")).alias("bands")))
+    if hasattr(line_dedup, "pairs_between"):
+        monkeypatch.setattr(line_dedup.pairs_between, "__defaults__", (block,))
+    got = line_dedup.removed_lines(spark.createDataFrame([(i, x, "en", "a", 0) for i, x in enumerate(texts)], DOCS)).collect()
+    assert {r["doc_id"] for r in got} == want and len(want) > 20
+
+
 def test_line_dedup_short_lines(spark):
     texts = ["yes", "no", "一行十五字以内的完整句子", "abcdefghijkl", "abcdefghijklm", "abcdefghijklmnop", "abcdefghijklmno", "xabcdefghijklmno", "123456789", "23456789x", "abcdefghijklmnopq", "bcdefghijklmnopqr", "aaaaaaaa", "a" * 40, "", " "]
     texts += ["YES ", "一行十五字以内的完整句子", "", " ", "other"]
