@@ -383,6 +383,48 @@ def test_line_dedup_all_pairs_of_a_dense_band(spark, monkeypatch, block):
     assert {r["doc_id"] for r in got} == want and len(want) > 20
 
 
+@pytest.mark.parametrize(("chars", "edits"), [(420, 6), (1600, 26)])
+def test_line_dedup_family_below_the_threshold(spark, monkeypatch, chars, edits):
+    import random
+
+    rng = random.Random(3)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(chars)]
+    texts = []
+    for _ in range(100):  # copies of one line, each with edits of its own
+        line = base[:]
+        for i in rng.sample(range(len(line)), edits):
+            line[i] = rng.choice("0123456789")
+        texts.append(" ".join("".join(line).split()))
+    sets = [slow_shingles(x) for x in texts]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {i for i, root in classes(range(len(texts)), linked).items() if root != i}
+    met, real = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, *rest: met.append(pairs.count()) or real(pairs, *rest))
+    monkeypatch.setattr(line_dedup, "sketches", lambda lines: line_dedup.distinct_lines(lines).select("line_id", F.array(F.lit(5).cast("long")).alias("bands")))
+    got = line_dedup.removed_lines(spark.createDataFrame([(i, x, "en", "a", 0) for i, x in enumerate(texts)], DOCS)).collect()
+    assert {r["doc_id"] for r in got} == want
+    assert sum(met) < 100 * 99 // 4
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_pairs_between_takes_all_links(spark, block):
+    import random
+
+    rng = random.Random(11)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(2000), rng.choice([1, 4, 20, 90]))
+        for _ in range(12):
+            sets.append(sorted(set(base[rng.randrange(3) if len(base) > 3 else 0 :]) | set(rng.sample(range(2000), rng.randrange(1 + len(base) // 6)))))
+    sets = sorted({tuple(x) for x in sets})
+    linked = {(i, j) for j in range(len(sets)) for i in range(j) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    hashed = spark.createDataFrame(list(enumerate(sets)), "id long, h array<long>").withColumn("h", F.expr("transform(h, x -> xxhash64(x))"))
+    members = line_dedup.groups(line_dedup.prefixes(hashed, 0.8, 2), 0.8).withColumn("root", F.col("id"))
+    got = {(r["a"], r["b"]) for r in line_dedup.pairs_between(members, 0.8, block).collect()}
+    assert linked <= got and len(linked) > 50
+    assert len(got) < len(sets) * (len(sets) - 1) // 8
+
+
 def test_line_dedup_short_lines(spark):
     texts = ["yes", "no", "一行十五字以内的完整句子", "abcdefghijkl", "abcdefghijklm", "abcdefghijklmnop", "abcdefghijklmno", "xabcdefghijklmno", "123456789", "23456789x", "abcdefghijklmnopq", "bcdefghijklmnopqr", "aaaaaaaa", "a" * 40, "", " "]
     texts += ["YES ", "一行十五字以内的完整句子", "", " ", "other"]
