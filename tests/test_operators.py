@@ -431,3 +431,24 @@ def test_most_similar_matches_all_pairs(spark):
     # names that are alike in all but their numbers make few candidates
     counts = Counter(r["set_id"] for r in retrieval._near_sets(*[spark.createDataFrame([(i, 18, f"Customer#{i:09d}") for i in range(12345, 12745)], "set_id long, n int, name string")] * 2).select(F.col("a").alias("set_id")).collect())
     assert max(counts.values()) < 40
+
+
+def test_mentions_broadcast_no_growing_table(spark, monkeypatch):
+    import re
+
+    from mnemospark.operators import graph, retrieval
+
+    plans = []
+
+    def kept(df, name, *rest, write=retrieval.staged):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, *rest)
+
+    monkeypatch.setattr(retrieval, "staged", kept)
+    entities = spark.createDataFrame([(f"c:{i}", f"Customer#{i:09d}") for i in range(60)], "id string, name string")
+    episodes = entities.selectExpr("concat('About ', name, '.') AS content", "id")
+    out = graph.link_mentions(episodes, entities)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    by = {k for p in plans for k in re.findall(r"BroadcastHashJoin \[(\w+)#", p)}
+    assert by <= {"g", "m"}  # the trigrams, if few, and the places of groups; files of names are small for their rows
+    assert {(r["episode_id"], r["entity_id"]) for r in out.collect()} >= {(f"c:{i}", f"c:{i}") for i in range(60)}
