@@ -679,3 +679,44 @@ def test_plan_covers_histogram():
 
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_line_dedup_in_slices(spark, monkeypatch):
+    from random import Random
+
+    from mnemospark.llm import line_dedup
+    from mnemospark.sources import staging
+
+    rng = Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(40)]
+    base = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(30)]
+    lines = [x if rng.random() < 0.3 else " ".join([*x.split()[:-1], rng.choice(words)]) for x in base * 6]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i * 3 : i * 3 + 3])) for i in range(60)], "doc_id long, text string")
+    key = ["doc_id", "line_no", "line_id", "class_id"]
+    want = sorted(map(tuple, line_dedup.removed_lines(docs, dense=2).select(key).collect()))
+    writes, held = [], []
+
+    def kept(df, name, *rest, write=staging.staged):
+        if name == "first":  # the pairs are known, so the texts of all lines are not needed
+            root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging.shared_dir(spark))
+            files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+            held.extend({f.getPath().getName() for f in files} & paths)
+        out = write(df, name, *rest)
+        if name == "lines":
+            paths.update(f.rsplit("/", 2)[-2] for f in out.inputFiles())
+        return out
+
+    def parts(frames, name, *rest, write=line_dedup.__dict__.get("staged_parts")):
+        frames = list(frames)
+        writes.append((name, len(frames)))
+        return write(frames, name, *rest)
+
+    paths = set()
+    monkeypatch.setattr(line_dedup, "staged", kept)
+    monkeypatch.setattr(line_dedup, "staged_parts", parts, raising=False)
+    for name in ("LINE_ROWS", "KEY_ROWS", "PAIR_ROWS", "COMMON"):
+        monkeypatch.setattr(line_dedup, name, 20 if name != "COMMON" else 0, raising=False)
+    got = sorted(map(tuple, line_dedup.removed_lines(docs, dense=2).select(key).collect()))
+    assert got == want and want
+    assert paths and not held
+    assert {"minima", "keyed", "sums", "members", "verified"} <= {name for name, n in writes if n > 1}
