@@ -719,4 +719,4 @@ def test_line_dedup_in_slices(spark, monkeypatch):
     got = sorted(map(tuple, line_dedup.removed_lines(docs, dense=2).select(key).collect()))
     assert got == want and want
     assert paths and not held
-    assert {"minima", "keyed", "sums", "members", "verified"} <= {name for name, n in writes if n > 1}
+    assert {"minima", "bands", "sized", "keyed", "sums", "members", "verified"} <= {name for name, n in writes if n > 1}
